@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from . import vectors
+from .html import op9_page_differencing
+from .langid import op1_language_id
 from .packing import op6_pattern_packing
 from .sharding import op10_ring_sharding
 from .tokenfile import op7_token_files
+from .vectors import op4_pigeonhole_join
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op4_pigeonhole_join": op4_pigeonhole_join,
     "op6_pattern_packing": op6_pattern_packing,
     "op7_token_files": op7_token_files,
+    "op9_page_differencing": op9_page_differencing,
     "op10_ring_sharding": op10_ring_sharding,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_pigeonhole_join": vectors.SQL}
