@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import neardup, vectors
+from .decontaminate import op2_latent_decontamination
 from .html import op9_page_differencing
 from .langid import op1_language_id
 from .neardup import op3_lsh_forest
@@ -15,6 +16,7 @@ from .vectors import op4_pigeonhole_join
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_latent_decontamination": op2_latent_decontamination,
     "op3_lsh_forest": op3_lsh_forest,
     "op4_pigeonhole_join": op4_pigeonhole_join,
     "op5_suffix_family": op5_suffix_family,
