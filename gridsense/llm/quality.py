@@ -21,7 +21,7 @@ from . import scratch
 from .arrowtext import LOWER, U, buffers, mix, prefix_hash, slices, span_hash, word_hashes
 from .arrowtext import words as spans
 
-SAMPLE = 12_000  # labelled rows used to fit, chosen by a hash of the key
+SAMPLE = 6_000  # labelled rows used to fit, chosen by a hash of the key
 BITS = 20  # buckets of word hashes
 TELLING = 384  # word buckets that a model uses
 TARGETS = ("quality", "toxic")
@@ -36,7 +36,7 @@ for _c in range(33, 127):
 _KINDS[128:, 5] = 1
 N_STATS = 12
 _LETTER = (_KINDS[:, 0] + _KINDS[:, 1] + _KINDS[:, 5]) > 0
-PREFIXES = (4, 5, 6, 7, 8)  # bytes of a word's beginning
+PREFIXES = (4, 6, 8)  # bytes of a word's beginning
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
