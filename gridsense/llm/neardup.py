@@ -376,7 +376,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, ratio:
     weight = loose.groupBy("label").agg((F.sum("n") * 8).alias("bytes"))
     dealt = loose.join(weight, "label").select("id", "label", "h1", "h2", F.when(F.col("bytes") <= GROUP_BYTES, -1).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("bytes") / CHUNK_BYTES))).cast("int").alias("chunk"))
     dealt = scratch.table(dealt, "dealt")
-    texts = slim.join(dealt, "id").select("label", "chunk", "id", "h1", "h2", "text")
+    # `dealt` grows with the corpus, so it is never broadcast
+    texts = slim.join(dealt.hint("merge"), "id").select("label", "chunk", "id", "h1", "h2", "text")
     small = texts.where("chunk = -1").repartition("label").sortWithinPartitions("label", "id").mapInArrow(_resolve_groups(width, ratio), "a long, b long")
     links = small
     if dealt.where("chunk >= 0").limit(1).count():
