@@ -114,7 +114,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60
 class Model:
     """Log-odds of one target from statistics and telling words."""
 
-    def __init__(self, stats: np.ndarray, bucket: np.ndarray, row: np.ndarray, y: np.ndarray):
+    def __init__(self, stats: np.ndarray, bucket: np.ndarray, row: np.ndarray, count: np.ndarray, y: np.ndarray):
         self.mean, self.std = stats.mean(axis=0), stats.std(axis=0) + 1e-3
         family, weight = families(bucket, row, len(stats))
         # a word counts once for a family of copies, so that the words of one copied text are not telling
@@ -129,7 +129,7 @@ class Model:
         best = np.argsort(-z, kind="stable")[:TELLING]
         self.words = np.sort(best[z[best] > 20])
         if 0 < rate < 1:
-            self.w = _logistic(self._inputs(stats, bucket, row), y, weight)
+            self.w = _logistic(self._inputs(stats, bucket, row, count), y, weight)
         else:  # one class only: its own log-odds, with half a row of the other
             self.w = np.zeros(N_STATS + len(self.words) + 1)
             self.w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
@@ -143,30 +143,32 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_table"}
 
-    def _inputs(self, stats, bucket, row):
+    def _inputs(self, stats, bucket, row, count):
         x = np.zeros((len(stats), N_STATS + len(self.words)))
         x[:, :N_STATS] = np.clip((stats - self.mean) / self.std, -8, 8)
         if len(self.words):
             at = self._places()[bucket]
             hit = np.flatnonzero(at >= 0)
-            x[row[hit], N_STATS + at[hit]] = 1
+            np.add.at(x, (row[hit], N_STATS + at[hit]), count[hit] if len(count) else 1)
+            x[:, N_STATS:] = np.minimum(3, np.log2(1 + x[:, N_STATS:]))
         return x
 
     def log_odds(self, stats, bucket, row):
-        return np.clip(self._inputs(stats, bucket, row) @ self.w[:-1] + self.w[-1], -30, 30)
+        """Of rows whose buckets come with their repeats."""
+        return np.clip(self._inputs(stats, bucket, row, ()) @ self.w[:-1] + self.w[-1], -30, 30)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets, _ = buffers(batch.column(0))
         stats, bucket, row = features(raw, offsets)
-        key = np.unique(row.astype(np.int64) << BITS | bucket)
+        key, count = np.unique(row.astype(np.int64) << BITS | bucket, return_counts=True)
         bucket, row = key & ((1 << BITS) - 1), key >> BITS
         ends = np.searchsorted(row, np.arange(len(offsets)))
-        b = bucket.astype("<u4").tobytes()
+        b, c = bucket.astype("<u4").tobytes(), np.minimum(255, count).astype(np.uint8).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(1), batch.column(2), pa.array([x.tobytes() for x in stats.astype("<f8")], pa.binary()), pa.array([b[4 * i : 4 * j] for i, j in zip(ends, ends[1:], strict=False)], pa.binary())],
-            ["quality", "toxic", "stats", "words"],
+            [batch.column(1), batch.column(2), pa.array([x.tobytes() for x in stats.astype("<f8")], pa.binary()), pa.array([b[4 * i : 4 * j] for i, j in zip(ends, ends[1:], strict=False)], pa.binary()), pa.array([c[i:j] for i, j in zip(ends, ends[1:], strict=False)], pa.binary())],
+            ["quality", "toxic", "stats", "words", "counts"],
         )
 
 
@@ -176,14 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int = S
     chosen = labels.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1_000_003)) < int(min(1.0, sample / n) * 1_000_003))).select(F.col(key).alias("_key"), *(F.col(t).cast("int").alias(t) for t in TARGETS))
     chosen = chosen.groupBy("_key").agg(*(F.max(t).alias(t) for t in TARGETS))
     # the sample is bounded by its parameter, so it can be sent to every task
-    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["_key"]).select(docs[text].alias("text"), *TARGETS).mapInArrow(_sampled, "quality int, toxic int, stats binary, words binary").toArrow()
+    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["_key"]).select(docs[text].alias("text"), *TARGETS).mapInArrow(_sampled, "quality int, toxic int, stats binary, words binary, counts binary").toArrow()
     out = {}
     for t in TARGETS:
         y = np.array([-1 if v is None else v for v in rows[t].to_pylist()])
         use = np.flatnonzero(y >= 0)
         if len(use):
             words = [np.frombuffer(rows["words"][int(i)].as_py(), "<u4") for i in use]
-            out[t] = Model(np.array([np.frombuffer(rows["stats"][int(i)].as_py(), "<f8") for i in use]), np.concatenate(words).astype(np.int64), np.repeat(np.arange(len(use)), [len(x) for x in words]), (y[use] > 0).astype(float))
+            out[t] = Model(np.array([np.frombuffer(rows["stats"][int(i)].as_py(), "<f8") for i in use]), np.concatenate(words).astype(np.int64), np.repeat(np.arange(len(use)), [len(x) for x in words]), np.frombuffer(b"".join(rows["counts"][int(i)].as_py() for i in use), np.uint8), (y[use] > 0).astype(float))
     return out
 
 
