@@ -1,58 +1,5 @@
-"""Intermediate tables in the folder the cluster shares, so that a lost executor costs no results."""
+"""Intermediate tables in the folder the cluster shares (see sources.shared)."""
 
-from __future__ import annotations
+from ..sources.shared import drop, folder, partitions, table
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_made: list[tuple[object, str]] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder: `spark.checkpoint.dir` of the session; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="gridsense-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit, and then nothing can be deleted
-            return
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by `table` once nothing lazy reads it any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _made[:] = [x for x in _made if x[1] != path]
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["drop", "folder", "partitions", "table"]
