@@ -54,5 +54,13 @@ def drop(df: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batch to `rows`, so that batches of long texts stay small in executors and workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
