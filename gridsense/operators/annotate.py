@@ -233,7 +233,11 @@ def cea(scored: DataFrame, best_only: bool, found_types: DataFrame | None = None
         per = out.select(*CAND).join(found_types.select("table_id", "col_idx", "type", F.col("score").alias("c_score")), ["table_id", "col_idx"])
         mine = types.select("entity", F.col("type").alias("own"), "level")
         lv = per.join(mine.withColumnRenamed("own", "type"), ["entity", "type"], "left").groupBy(*CAND, "type", "c_score").agg(F.min("level").alias("level"))
-        near = per.join(mine.where("level <= 2"), "entity").join(neighbours, (F.col("type") == neighbours["type"]) & (F.col("own") == F.col("neighbour"))).drop(neighbours["type"]).groupBy(*CAND, "type").agg(F.min("level").alias("n_level")) if neighbours is not None else None
+        near = None
+        if neighbours is not None:
+            beside = neighbours.select(F.col("type").alias("n_type"), F.col("neighbour").alias("own"))
+            met = per.join(mine.where("level <= 2"), "entity").join(beside, (F.col("type") == F.col("n_type")) & (mine["own"] == beside["own"]))
+            near = met.groupBy(*CAND, "type").agg(F.min("level").alias("n_level"))
         if near is not None:
             lv = lv.join(near, [*CAND, "type"], "left")
         else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def to_cells(tables: DataFrame, table_id: str = "table_id", data: str = "data") -> DataFrame:
@@ -19,7 +20,7 @@ def to_rows(cells: DataFrame) -> DataFrame:
     return row.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", F.col("r.value").alias("v")))).alias("t")).select("table_id", F.col("t.v").alias("data"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_text(values: pd.Series) -> pd.Series:
     """Undo escape sequences and UTF-8 read as Latin-1 (the one step that no Spark expression covers)."""
 
