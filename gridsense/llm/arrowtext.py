@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 2_000_000  # bytes of text handled at once; a longer text is handled alone
+CHUNK = 1_000_000  # bytes of text handled at once; a longer text is handled alone
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 

@@ -242,6 +242,7 @@ def _windows(items: Items, table, norms, h, row, rows: int):
 def matches(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, body: str) -> DataFrame:
     """(rid, item, cover): the pairs of a document key and a benchmark item found in its text."""
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     slim = docs.select(F.col(key).cast("long").alias("rid"), F.lower(text).alias("text"))
     items = benchmark.where(F.col(body).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.lower(body).alias("body"))
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))

@@ -272,6 +272,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     then arbitrarily, and equal lines there make no difference. An empty table gives no rows.
     """
     spark = pages.sparkSession
+    scratch.small_batches(spark)
     ranges = ranges or 2 * scratch.partitions(spark)
     # cut points only balance the ranges: a few URLs for each range
     n = max(1, pages.count())

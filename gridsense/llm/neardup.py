@@ -33,7 +33,7 @@ LONG = 16  # values of a tree's order
 CROWDED = 48  # rows of a (sub)region that are all compared
 NEAR = 6  # neighbours in sorted order that are compared anyway
 HELD = 8192  # rows of a region that a task holds
-STEP = 1_000_000
+STEP = 500_000
 GROUP_BYTES = 48 << 20  # of shingles of a loose group that one task resolves
 CHUNK_BYTES = 12 << 20
 
@@ -157,7 +157,8 @@ def candidates(region: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.nda
         crowded = np.repeat(size > CROWDED, size)
         if depth == DEPTH:
             for d in range(1, NEAR + 1):
-                at = np.flatnonzero(crowded[: n - d] & (region[: n - d] == region[d:]))
+                m = max(0, n - d)
+                at = np.flatnonzero(crowded[:m] & (region[:m] == region[d : d + m]))
                 pairs.append((at, at + d))
         open_ &= crowded
         if not open_.any():
@@ -362,6 +363,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, ratio:
     linked. Repeated rows and rows that share a key are one document to the groups, a row each in the result; with a
     null key a row is kept and its component is null. An empty table gives no rows.
     """
+    scratch.small_batches(docs.sparkSession)
     share = ratio[0] / ratio[1]
     count = trees(share)
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))

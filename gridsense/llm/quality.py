@@ -21,11 +21,11 @@ from . import scratch
 from .arrowtext import LOWER, U, buffers, mix, prefix_hash, slices, span_hash, word_hashes
 from .arrowtext import words as spans
 
-SAMPLE = 6_000  # labelled rows used to fit, chosen by a hash of the key
+SAMPLE = 4_000  # labelled rows used to fit, chosen by a hash of the key
 BITS = 20  # buckets of word hashes
 TELLING = 384  # word buckets that a model uses
 TARGETS = ("quality", "toxic")
-STEP = 1_000_000
+STEP = 500_000
 
 _KINDS = np.zeros((256, 6), np.float32)  # upper, lower, digit, stop or comma, other ASCII sign, past ASCII
 _KINDS[65:91, 0] = _KINDS[97:123, 1] = _KINDS[48:58, 2] = 1
@@ -179,13 +179,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int = S
     chosen = chosen.groupBy("_key").agg(*(F.max(t).alias(t) for t in TARGETS))
     # the sample is bounded by its parameter, so it can be sent to every task
     rows = docs.join(F.broadcast(chosen), docs[key] == chosen["_key"]).select(docs[text].alias("text"), *TARGETS).mapInArrow(_sampled, "quality int, toxic int, stats binary, words binary, counts binary").toArrow()
+    n = rows.num_rows
+    if not n:
+        return {}
+    flat = lambda c, kind: np.frombuffer(b"".join(rows[c].to_pylist()), kind)
+    stats, bucket, count = flat("stats", "<f8").reshape(n, N_STATS), flat("words", "<u4"), flat("counts", np.uint8)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) // 4 for x in rows["words"].to_pylist()])
     out = {}
     for t in TARGETS:
         y = np.array([-1 if v is None else v for v in rows[t].to_pylist()])
-        use = np.flatnonzero(y >= 0)
-        if len(use):
-            words = [np.frombuffer(rows["words"][int(i)].as_py(), "<u4") for i in use]
-            out[t] = Model(np.array([np.frombuffer(rows["stats"][int(i)].as_py(), "<f8") for i in use]), np.concatenate(words).astype(np.int64), np.repeat(np.arange(len(use)), [len(x) for x in words]), np.frombuffer(b"".join(rows["counts"][int(i)].as_py() for i in use), np.uint8), (y[use] > 0).astype(float))
+        use = y >= 0
+        if use.all():
+            out[t] = Model(stats, bucket, row, count, (y > 0).astype(float))
+        elif use.any():
+            new = (np.cumsum(use) - 1).astype(np.int32)
+            mine = use[row]
+            out[t] = Model(stats[use], bucket[mine], new[row[mine]], count[mine], (y[use] > 0).astype(float))
     return out
 
 
@@ -248,6 +257,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str, text: str, site: str,
     without labels has p 0.5 throughout and rejects nothing. Repeated rows are scored alike; an empty table gives
     no rows; a labelled key found twice counts as labelled 1 if any of its labels is.
     """
+    scratch.small_batches(docs.sparkSession)
     models = fit(docs, labels, key, text, sample)
     bare = F.regexp_replace(F.coalesce(F.col(site).cast("string"), F.lit("")), "^[a-z]+://", "")
     named = docs.select(F.col(key), F.substring_index(bare, "/", 1).alias("_host"), F.substring_index(F.substring_index(bare, "/", 2), "?", 1).alias("_path"), F.col(text))

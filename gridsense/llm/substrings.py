@@ -34,7 +34,7 @@ from . import scratch
 from .arrowtext import U, buffers, mix, prefix_hash, slices, span_hash
 from .tokens import _spread
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 ANCHOR = np.dtype([("a", "<u8"), ("c", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("q", "<u2"), ("twice", "u1")])
 SPAN = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 SHIP = np.dtype([("lo", "<u4"), ("n", "<u2"), ("q", "<u2"), ("single", "u1")])
@@ -445,6 +445,7 @@ def repeated_strings(docs: DataFrame, key: str, text: str, length: int = 200, te
     if length < 32:
         raise ValueError("length must be at least 32")
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     buckets = 2 * scratch.partitions(spark)
     slim = docs.select(F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("id"))
     found = slim.select("text").mapInArrow(_scan(length, buckets), ROW)
