@@ -104,21 +104,28 @@ def best_fit(hist: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int
 
 
 def plan(hist: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use up the histogram exactly."""
-    left = {x: n for x, n in hist.items() if n}
-    out: list[tuple[tuple[int, ...], int]] = []
-    pats = patterns(left, size)
-    fit = nnls(pats, left, size)
-    for j in np.argsort(-fit, kind="stable"):
-        if fit[j] < 1:
-            break
-        need = Counter(pats[j])
-        n = min(int(fit[j]), *(left[x] // k for x, k in need.items()))
-        if n > 0:
-            out.append((pats[j], n))
-            for x, k in need.items():
-                left[x] -= n * k
-    return out + best_fit({x: n for x, n in left.items() if n}, size)
+    """(pattern, repeats) that use up the histogram exactly.
+
+    The fit may leave long lengths without their short partners, so several shares of the fitted counts are tried
+    and the plan with the fewest sequences is taken."""
+    have = {x: n for x, n in hist.items() if n}
+    pats = patterns(have, size)
+    fit = nnls(pats, have, size)
+    order = np.argsort(-fit, kind="stable")
+    plans = []
+    for share in (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.03):
+        left, out = dict(have), []
+        for j in order:
+            if fit[j] * share < 1:
+                break
+            need = Counter(pats[j])
+            n = min(int(fit[j] * share), *(left[x] // k for x, k in need.items()))
+            if n > 0:
+                out.append((pats[j], n))
+                for x, k in need.items():
+                    left[x] -= n * k
+        plans.append(out + best_fit({x: n for x, n in left.items() if n}, size))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def _pieces(path: str, size: int):
@@ -161,6 +168,7 @@ def pack(docs: DataFrame, key: str, text: str, size: int = 1024, path: str | Non
     null, an empty table gives no rows. Pieces of one length are exchangeable, so their order says nothing else.
     """
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(path or default_path(), size), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long")
     made = scratch.table(made, "pieces")
     short = made.where(F.col("length") < size)
