@@ -91,7 +91,8 @@ def shard(df: DataFrame, key: str, shards: int, vnodes: int = 64, ties: list[str
     for p in positions:
         stretch[p >> 20].append(p)
     jump = _ranges(spark, [{"b": b, "p": s, "first": bisect.bisect_left(positions, b << 20)} for b, s in enumerate(stretch)], "b int, p array<bigint>, first int")
-    hashed = df.withColumn("_h", ring_hash(F.col(key)))
+    # the row is carried whole, so that no column of its own can clash with those below
+    hashed = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(ties or [])]).withColumn("_h", ring_hash(F.col("_key")))
     found = hashed.join(F.broadcast(jump), F.shiftrightunsigned("_h", 20).cast("int") == F.col("b"))
     arc = (F.col("first") + F.size(F.filter("p", lambda p: p < F.col("_h")))) % len(ring)
     found = found.withColumn("_arc", arc.cast("int")).drop("b", "p", "first")
@@ -108,13 +109,13 @@ def shard(df: DataFrame, key: str, shards: int, vnodes: int = 64, ties: list[str
             rank += n
             filled[s] += n
     given = _ranges(spark, plan, "a int, lo bigint, hi bigint, s int, base bigint").groupBy("a").agg(F.collect_list(F.struct("lo", "hi", "s", "base")).alias("_plan"))
-    order = [F.col("_h"), F.col(key), *(F.col(c) for c in ties or [])]
+    order = [F.col("_h"), F.col("_key"), *(F.col(f"_tie{i}") for i in range(len(ties or [])))]
     ranked = found.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc").orderBy(*order)).cast("long") - 1)
     # `given` has a row per arc: shards x vnodes rows at most, whatever the input
     placed = ranked.join(F.broadcast(given), F.col("_arc") == F.col("a"))
     mine = F.filter("_plan", lambda x: (x["lo"] <= F.col("_rank")) & (F.col("_rank") < x["hi"]))[0]
     placed = placed.withColumn("_to", mine)
-    return placed.select(*[c for c in df.columns if c not in ("_shard", "_slot")], F.col("_to.s").alias("_shard"), (F.col("_to.base") + F.col("_rank")).alias("_slot"))
+    return placed.select(*[F.col("_row").getField(c).alias(c) for c in df.columns if c not in ("_shard", "_slot")], F.col("_to.s").alias("_shard"), (F.col("_to.base") + F.col("_rank")).alias("_slot"))
 
 
 def op10_ring_sharding(spark, sf_dir: str) -> DataFrame:
