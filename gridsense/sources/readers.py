@@ -25,6 +25,11 @@ def decode(raw: bytes) -> str:
     try:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
+        if len(raw) < 2000:  # too little for statistics: the most common single-byte encoding
+            try:
+                return raw.decode("cp1252")
+            except UnicodeDecodeError:
+                return raw.decode("latin-1")
         try:
             from charset_normalizer import from_bytes
 
