@@ -368,7 +368,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, ratio:
     count = trees(share)
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = scratch.table(slim.mapInArrow(_prepare(width, count), "id long, n long, h1 long, h2 long, sig binary, keys binary"), "signatures")
-    reps = rows.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    # written, so that joins on it shuffle both sides and the planner can split a set that very many rows have
+    reps = scratch.table(rows.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "sets")
     grown = rows.where("h1 is not null and id is not null").join(reps, ["h1", "h2"]).where("id = rep").select("id", "n", "sig", "keys")
     forest_rows = grown.mapInArrow(_grow(count), "region long, path binary, id long, n long, sketch binary")
     parts = 2 * scratch.partitions(docs.sparkSession)

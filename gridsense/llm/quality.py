@@ -262,8 +262,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str, text: str, site: str,
     bare = F.regexp_replace(F.coalesce(F.col(site).cast("string"), F.lit("")), "^[a-z]+://", "")
     named = docs.select(F.col(key), F.substring_index(bare, "/", 1).alias("_host"), F.substring_index(F.substring_index(bare, "/", 2), "?", 1).alias("_path"), F.col(text))
     scored = scratch.table(evidence(named, text, models), "evidence")
-    # a site has one row, so a host with a third of all documents only repeats a small row
-    joined = scored.join(_sites(scored), ["_host", "_path"])
+    # a site has one row; written first, so that the planner can split the rows of a host with a third of all documents
+    joined = scored.join(scratch.table(_sites(scored), "sites"), ["_host", "_path"])
     p = {t: 1 / (1 + F.exp(-(F.col(f"_e_{t}") + F.col(f"_shift_{t}")))) for t in TARGETS}
     if "quality" not in models:
         p["quality"] = F.lit(0.5)
