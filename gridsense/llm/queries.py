@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neardup, vectors
+from . import neardup, substrings, vectors
 from .decontaminate import op2_latent_decontamination
 from .html import op9_page_differencing
 from .langid import op1_language_id
@@ -26,4 +26,4 @@ QUERIES = {
     "op9_page_differencing": op9_page_differencing,
     "op10_ring_sharding": op10_ring_sharding,
 }
-ORACLE: dict[str, str] = {"op3_lsh_forest": neardup.SQL, "op4_pigeonhole_join": vectors.SQL}
+ORACLE: dict[str, str] = {"op3_lsh_forest": neardup.SQL, "op4_pigeonhole_join": vectors.SQL, "op5_suffix_family": substrings.SQL}

@@ -485,3 +485,15 @@ def _split(length: int):
 def op5_suffix_family(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repeated_strings(docs, "doc_id", "text", 200).withColumnRenamed("kept", "kept_sha256")
+
+
+#: The same by brute force: every window of 200 bytes, in hexadecimal digits.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, i, substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS byte, CASE WHEN 2 * (i + 200) <= length(h) THEN hash(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) END AS k FROM (SELECT r, h, unnest(range(length(h) // 2)) AS i FROM d)),
+t AS (SELECT k FROM p WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+c AS (SELECT r, i, byte, coalesce(i - max(CASE WHEN t.k IS NOT NULL THEN i END) OVER (PARTITION BY r ORDER BY i) < 200, false) AS gone FROM p LEFT JOIN t ON p.k = t.k),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM c),
+s AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS rest FROM e GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+"""

@@ -100,3 +100,12 @@ def test_empty_table(spark, tmp_path):
     assert substrings.repeated_strings(spark.read.parquet(path), "doc_id", "text").collect() == []
     with pytest.raises(ValueError):
         substrings.repeated_strings(spark.read.parquet(path), "doc_id", "text", 8)
+
+
+def test_sql_twin(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(tuple(r) for r in substrings.op5_suffix_family(spark, sf).collect()) == sorted(con.sql(substrings.SQL).fetchall())
