@@ -150,7 +150,7 @@ def write(docs: DataFrame, key: str, text: str, path: str | None = None, block_i
     documents with one key stand in any order. An empty table gives an empty block table.
     """
     spark = docs.sparkSession
-    scratch.small_batches(spark)
+    scratch.small_batches(spark, 3000)
     path = path or default_path()
     order = frequency_order(docs, text, path)
     buckets = 4 * scratch.partitions(spark)
