@@ -264,10 +264,11 @@ def resolve(ids: np.ndarray, s: np.ndarray, out: np.ndarray, ratio: tuple[int, i
 GROUP = "label long, chunk int, id long, h1 long, h2 long, text string"
 
 
-def _groups(batches: Iterator[pa.RecordBatch], width: int, empty: bool = False):
+def _groups(batches: Iterator[pa.RecordBatch], width: int):
     """(label, chunk, ids, shingles, offsets) of each group of rows that come together; a row's set must have the
     128-bit hash it is known by, so that another text under the same id is passed over."""
     key, ids, parts = None, [], []
+    taken: set[int] = set()  # hashes of the sets that the last id already has here
 
     def done():
         return key[0], key[1], np.array(ids), np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
@@ -284,7 +285,10 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int, empty: bool = False):
                         yield done()
                     key, ids, parts = keys[k], [], []
                 mine = s[out[k - i] : out[k - i + 1]]
-                if len(mine) and int(mix(mine + U(0x632BE59BD9B4E019)).sum(dtype=U).view(np.int64)) == h1[k] and (not ids or ids[-1] != id_[k]):
+                if not ids or ids[-1] != id_[k]:
+                    taken.clear()
+                if len(mine) and h1[k] not in taken and int(mix(mine + U(0x632BE59BD9B4E019)).sum(dtype=U).view(np.int64)) == h1[k]:
+                    taken.add(h1[k])
                     ids.append(id_[k])
                     parts.append(mine)
     if ids:

@@ -79,6 +79,14 @@ def test_keys(spark):
     assert neardup.near_duplicates(docs.limit(0), "doc_id", "text").collect() == []
 
 
+def test_one_key_with_two_texts_is_one_document(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (1, b), (5, a.replace("a59", "x")), (7, b.replace("b59", "y")), (9, "other words entirely here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, "doc_id", "text", 3, (85, 100)).collect())
+    assert got == [(1, 1), (1, 1), (5, 1), (7, 1), (9, 9)]
+
+
 def test_candidates_of_short_and_crowded_regions():
     region = np.array([1, 1, 2] + [3] * 200)
     path = np.zeros((203, neardup.LONG), np.uint8)
