@@ -250,8 +250,12 @@ mt AS (SELECT DISTINCT mention, unnest(list_filter(regexp_split_to_array(mention
 near AS (SELECT mention, token, df, min(levenshtein(m, token)) AS d FROM mt, df WHERE abs(length(m) - length(token)) <= 2 AND levenshtein(m, token) <= CASE WHEN length(m) <= 2 THEN 0 WHEN length(m) <= 5 THEN 1 ELSE 2 END GROUP BY ALL),
 rare AS (SELECT *, min(df) OVER (PARTITION BY mention) AS r FROM near),
 s AS (SELECT mention, entity, label, origin, sum((1 - d / greatest(length(token), 1)) * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS s
-  FROM rare JOIN tf USING (token), mean, (SELECT count(*) AS n FROM index_) WHERE df <= 1000 OR df = r GROUP BY ALL)
-SELECT mention, entity, label, origin, round(s * CASE origin WHEN 'MAIN_ALIAS' THEN 0.94 WHEN 'SUB_ALIAS' THEN 0.88 ELSE 1 END, 5) AS bm25 FROM s WHERE length(label) BETWEEN floor(0.25 * length(mention)) AND ceil(4.0 * length(mention))"""
+  FROM rare JOIN tf USING (token), mean, (SELECT count(*) AS n FROM index_) WHERE (df <= 1000 OR df = r) AND length(label) BETWEEN floor(0.25 * length(mention)) AND ceil(4.0 * length(mention)) GROUP BY ALL),
+dfl AS (SELECT lower(label) AS text, count(*) AS df FROM index_ GROUP BY 1),
+near_l AS (SELECT mention, text, df, levenshtein(mention, text) AS d FROM (SELECT DISTINCT mention FROM mt), dfl WHERE abs(length(mention) - length(text)) <= 2 AND levenshtein(mention, text) <= CASE WHEN length(mention) <= 2 THEN 0 WHEN length(mention) <= 5 THEN 1 ELSE 2 END),
+w AS (SELECT mention, entity, label, origin, (1 - d / greatest(length(text), 1)) * ln(1 + (n - df + 0.5) / (df + 0.5)) AS s FROM near_l JOIN index_ ON lower(label) = text, (SELECT count(*) AS n FROM index_)),
+summed AS (SELECT mention, entity, label, origin, sum(s) AS s FROM (SELECT * FROM s UNION ALL SELECT * FROM w) GROUP BY ALL)
+SELECT mention, entity, label, origin, round(s * CASE origin WHEN 'MAIN_ALIAS' THEN 0.94 WHEN 'SUB_ALIAS' THEN 0.88 ELSE 1 END, 5) AS bm25 FROM summed"""
 
 
 @query(_BM25)

@@ -41,6 +41,19 @@ def test_deletion_keys_find_what_edit_distance_finds(spark):
     assert got == {(r.a, r.b) for r in pairs}
 
 
+def test_segments_find_what_edit_distance_finds(spark):
+    words = ["new york", "newyork", "new yorks", "mew york", "nw yrk", "a", "ab", "abc", "abd", "manchester united", "manchestr unitd", "united manchester"]
+    df = spark.createDataFrame([(w,) for w in words], "text string")
+    got = {(r.mention, r.text) for r in lookup.whole_matches(df.withColumnRenamed("text", "mention"), df).collect()}
+    pairs = df.select(F.col("text").alias("a")).crossJoin(df.select(F.col("text").alias("b"))).where(F.levenshtein("a", "b") <= lookup.edits(F.col("a"))).collect()
+    assert got == {(r.a, r.b) for r in pairs}
+
+
+def test_a_label_without_its_blank_is_found(spark):
+    found = index(spark, [("Q5", 1.0, ["New York"], None, None)])
+    assert lookup.lookup(spark.createDataFrame([("Newyork",)], "mention string"), found).first().entity == "Q5"
+
+
 EDGES = [("A", "P1", False, "B", "NORMAL", 0), ("C", "P2", False, "H", "NORMAL", 0), ("D", "P3", False, "H", "PREFERRED", 0), ("E", "P361", False, "H", "NORMAL", 0), ("H", "P361", False, "F", "NORMAL", 0), ("A", "P585", False, "1994", "DateTime-Year", 0), ("T1", "P279", False, "T2", "NORMAL", 0), ("T2", "P279", False, "T3", "NORMAL", 0), ("A", "P31", False, "T1", "NORMAL", 0), ("B", "P31", False, "T1", "NORMAL", 0), ("B", "P106", False, "T2", "NORMAL", 0)]
 
 

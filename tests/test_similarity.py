@@ -37,6 +37,15 @@ def test_token_ratios(spark):
     assert one(spark, similarity.textual_similarity(a, b), a="Universal", b="universal PICTURE") == (18 / 26 + 1) / 2
 
 
+def test_quantities(spark):
+    from gridsense.functions import units
+    from gridsense.plans import views
+
+    df = spark.createDataFrame([("5 km and 5,010 m",), ("10 euro",), ("$3",), ("7 apples",), ("1 h",)], "value string")
+    got = sorted((r.value, r.base_unit, round(r.amount, 6)) for r in units.quantities(df, views.units(spark).unionByName(units.currency_units(spark))).collect())
+    assert got == [("$3", "dollar", 3.0), ("1 h", "second", 3600.0), ("10 euro", "dollar", 11.0), ("5 km and 5,010 m", "metre", 5000.0)]
+
+
 def test_values(spark):
     a, b = F.col("a"), F.col("b")
     assert one(spark, values.float_parse(a), a="1,234.5") == 1234.5 and one(spark, values.float_parse(a), a="x") is None
