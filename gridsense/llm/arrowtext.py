@@ -6,7 +6,9 @@ polynomial over randomised byte values modulo 2**64, taken from prefix sums, the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,19 @@ BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _powers: dict[int, np.ndarray] = {}
 
 
+def tidy(run: Callable) -> Callable:
+    """`run`, a function of batches, giving memory back to the system when a task ends: worker processes are kept and
+    may be more than there are cores, so what each holds between tasks counts."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> U(30))

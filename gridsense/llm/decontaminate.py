@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .arrowtext import LOWER, U, buffers, prefix_hash, slices, span_hash, words
+from .arrowtext import LOWER, U, buffers, prefix_hash, slices, span_hash, words, tidy
 
 BLOCK_ITEMS = 10_000  # items of a block; what is sent to tasks is bounded by it
 RANK = 256
@@ -252,7 +252,7 @@ def matches(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: st
         block = Items([r["item"] for r in rows], [r["body"] for r in rows])
         if not block.ids:
             continue
-        counts = slim.select("text").mapInArrow(_frequencies(block), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+        counts = slim.select("text").mapInArrow(tidy(_frequencies(block)), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
         df = np.zeros(len(block.vocabulary))
         documents = 0
         for r in counts:
@@ -262,7 +262,7 @@ def matches(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: st
                 df[r["f"]] = r["n"]
         block.weigh(df, max(1, documents))
         block.project(randomised_svd(spark, block.rows, len(block.features), RANK))
-        found = slim.mapInArrow(_search(block), "rid long, item long, cover double")
+        found = slim.mapInArrow(tidy(_search(block)), "rid long, item long, cover double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.range(0).select(F.col("id").alias("rid"), F.col("id").alias("item"), F.lit(0.0).alias("cover"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .arrowtext import U, buffers, mix, prefix_hash, span_hash
+from .arrowtext import U, buffers, mix, prefix_hash, span_hash, tidy
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -279,7 +279,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     some = pages.where(F.pmod(F.xxhash64(key, url), F.lit(max(1, n // (40 * ranges)))) == 0).select(url).limit(100 * ranges).collect()
     places = sorted(place(r[0]) for r in some)
     cuts = sorted({places[len(places) * i // ranges] for i in range(1, ranges)}) if places else []
-    rows = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(page)).mapInArrow(_parse(cuts), ROW)
+    rows = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(page)).mapInArrow(tidy(_parse(cuts)), ROW)
     rows = scratch.table(rows, "pages")
     slim = rows.select("rid", "page_id", "host", "path", "bucket", "kept", "hashes", "open").withColumn("ghost", F.lit(False))
     order = F.struct("host", "path", "page_id", "rid")
@@ -291,8 +291,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     ghosts = beside.select("bucket", F.explode("xs").alias("x")).where("x is not null")
     ghosts = ghosts.select(*[F.col("bucket") if c == "bucket" else F.lit(True).alias("ghost") if c == "ghost" else F.col(f"x.{c}").alias(c) for c in slim.columns])
     order = ["bucket", "host", "path", "page_id", "rid"]
-    stay = slim.unionByName(ghosts).repartition("bucket").sortWithinPartitions(*order).mapInArrow(_differences, "rid long, stay binary")
-    open_ = rows.where("open").join(stay, "rid").select("page_id", "url", "text", "stay").mapInArrow(_join_kept, "page_id long, url string, text string")
+    stay = slim.unionByName(ghosts).repartition("bucket").sortWithinPartitions(*order).mapInArrow(tidy(_differences), "rid long, stay binary")
+    open_ = rows.where("open").join(stay, "rid").select("page_id", "url", "text", "stay").mapInArrow(tidy(_join_kept), "page_id long, url string, text string")
     return rows.where("not open").select("page_id", "url", F.array_join("text", "\n").alias("text")).unionByName(open_)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import buffers, slices
+from .arrowtext import buffers, slices, tidy
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -121,7 +121,7 @@ def train(docs: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE)
     langs = sorted(sizes)
     share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample / sizes[k])))]), F.col("lang"))
     chosen = docs.where(F.pmod("u", F.lit(1_000_003)) < share * 1_000_003)
-    counts = chosen.select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = chosen.select("lang", "text").mapInArrow(tidy(_counts), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((BUCKETS, len(langs)))
     at = {k: i for i, k in enumerate(langs)}
     if counts.num_rows:
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, text: str, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(p)], [*fields, "lang_pred", "score"])
 
     out = schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*fields, text).mapInArrow(run, out)
+    return docs.select(*fields, text).mapInArrow(tidy(run), out)
 
 
 def remainder(key: Column) -> Column:

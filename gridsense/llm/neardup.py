@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .arrowtext import U, buffers, mix, shingles, slices, word_hashes
+from .arrowtext import U, buffers, mix, shingles, slices, word_hashes, tidy
 from .components import components
 from .vectors import forest
 
@@ -345,17 +345,17 @@ def _meet(ratio: tuple[int, int]):
 
 def _large(rows: DataFrame, width: int, ratio: tuple[int, int]) -> DataFrame:
     """Exact components of loose groups that are cut into chunks."""
-    chunks = rows.repartition("label", "chunk").sortWithinPartitions("label", "chunk", "id").mapInArrow(_blobs(width), BLOB)
+    chunks = rows.repartition("label", "chunk").sortWithinPartitions("label", "chunk", "id").mapInArrow(tidy(_blobs(width)), BLOB)
     chunks = scratch.table(chunks, "chunks")
     other = lambda df: df.select("label", *(F.col(c).alias(f"{c}_2") for c in ("ids", "sets", "ends")))
-    meet = lambda df: chunks.join(df, "label").select("ids", "sets", "ends", "ids_2", "sets_2", "ends_2").repartition(scratch.partitions(rows.sparkSession)).mapInArrow(_meet(ratio), "a long, b long")
+    meet = lambda df: chunks.join(df, "label").select("ids", "sets", "ends", "ids_2", "sets_2", "ends_2").repartition(scratch.partitions(rows.sparkSession)).mapInArrow(tidy(_meet(ratio)), "a long, b long")
     # the pivot chunk is one bounded row a group
     first = scratch.table(meet(other(chunks.where("chunk = 0"))), "links")
     found = components(first, "a", "b")
     named = rows.select("label", "id", "chunk", "h1", "h2", "text").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     main = named.groupBy("label", "component").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     outside = named.join(main, "label").where("component != main").select("label", "chunk", "id", "h1", "h2", "text")
-    blocks = outside.repartition("label", "chunk").sortWithinPartitions("label", "chunk", "id").mapInArrow(_blobs(width), BLOB)
+    blocks = outside.repartition("label", "chunk").sortWithinPartitions("label", "chunk", "id").mapInArrow(tidy(_blobs(width)), BLOB)
     second = meet(other(scratch.table(blocks, "outside")))
     return components(first.unionByName(second), "a", "b").where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
@@ -371,13 +371,13 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, ratio:
     share = ratio[0] / ratio[1]
     count = trees(share)
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = scratch.table(slim.mapInArrow(_prepare(width, count), "id long, n long, h1 long, h2 long, sig binary, keys binary"), "signatures")
+    rows = scratch.table(slim.mapInArrow(tidy(_prepare(width, count)), "id long, n long, h1 long, h2 long, sig binary, keys binary"), "signatures")
     # written, so that joins on it shuffle both sides and the planner can split a set that very many rows have
     reps = scratch.table(rows.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "sets")
     grown = rows.where("h1 is not null and id is not null").join(reps, ["h1", "h2"]).where("id = rep").select("id", "n", "sig", "keys")
-    forest_rows = grown.mapInArrow(_grow(count), "region long, path binary, id long, n long, sketch binary")
+    forest_rows = grown.mapInArrow(tidy(_grow(count)), "region long, path binary, id long, n long, sketch binary")
     parts = 2 * scratch.partitions(docs.sparkSession)
-    near = forest_rows.repartitionByRange(parts, "region", "path", "id").sortWithinPartitions("region", "path", "id").mapInArrow(_neighbours(share), "a long, b long")
+    near = forest_rows.repartitionByRange(parts, "region", "path", "id").sortWithinPartitions("region", "path", "id").mapInArrow(tidy(_neighbours(share)), "a long, b long")
     loose = components(scratch.table(near, "loose"), "a", "b").withColumnRenamed("component", "label")
     loose = loose.join(rows.where("h1 is not null").select("id", "n", "h1", "h2").join(reps, ["h1", "h2"]).where("id = rep").select("id", "n", "h1", "h2").distinct(), "id")
     weight = loose.groupBy("label").agg((F.sum("n") * 8).alias("bytes"))
@@ -385,7 +385,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, ratio:
     dealt = scratch.table(dealt, "dealt")
     # `dealt` grows with the corpus, so it is never broadcast
     texts = slim.join(dealt.hint("merge"), "id").select("label", "chunk", "id", "h1", "h2", "text")
-    small = texts.where("chunk = -1").repartition("label").sortWithinPartitions("label", "id").mapInArrow(_resolve_groups(width, ratio), "a long, b long")
+    small = texts.where("chunk = -1").repartition("label").sortWithinPartitions("label", "id").mapInArrow(tidy(_resolve_groups(width, ratio)), "a long, b long")
     links = small
     if dealt.where("chunk >= 0").limit(1).count():
         links = small.unionByName(_large(scratch.table(texts.where("chunk >= 0"), "large"), width, ratio))

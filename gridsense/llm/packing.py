@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .arrowtext import tidy
 from .tokenfile import with_end
 from .tokens import default_path, encoded
 
@@ -168,8 +169,8 @@ def pack(docs: DataFrame, key: str, text: str, size: int = 1024, path: str | Non
     null, an empty table gives no rows. Pieces of one length are exchangeable, so their order says nothing else.
     """
     spark = docs.sparkSession
-    scratch.small_batches(spark, 3000)
-    made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(path or default_path(), size), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long")
+    scratch.small_batches(spark)
+    made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(_pieces(path or default_path(), size)), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long")
     made = scratch.table(made, "pieces")
     short = made.where(F.col("length") < size)
     counts = short.groupBy("length", "part").agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .arrowtext import LOWER, U, buffers, mix, prefix_hash, slices, span_hash, word_hashes
+from .arrowtext import LOWER, U, buffers, mix, prefix_hash, slices, span_hash, word_hashes, tidy
 from .arrowtext import words as spans
 
 SAMPLE = 4_000  # labelled rows used to fit, chosen by a hash of the key
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int = S
     chosen = labels.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1_000_003)) < int(min(1.0, sample / n) * 1_000_003))).select(F.col(key).alias("_key"), *(F.col(t).cast("int").alias(t) for t in TARGETS))
     chosen = chosen.groupBy("_key").agg(*(F.max(t).alias(t) for t in TARGETS))
     # the sample is bounded by its parameter, so it can be sent to every task
-    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["_key"]).select(docs[text].alias("text"), *TARGETS).mapInArrow(_sampled, "quality int, toxic int, stats binary, words binary, counts binary").toArrow()
+    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["_key"]).select(docs[text].alias("text"), *TARGETS).mapInArrow(tidy(_sampled), "quality int, toxic int, stats binary, words binary, counts binary").toArrow()
     n = rows.num_rows
     if not n:
         return {}
@@ -215,7 +215,7 @@ def evidence(docs: DataFrame, text: str, models: dict[str, Model]) -> DataFrame:
     schema = docs.select(*fields).schema
     for t in TARGETS:
         schema = schema.add(f"_e_{t}", "double")
-    return docs.select(*fields, text).mapInArrow(run, schema)
+    return docs.select(*fields, text).mapInArrow(tidy(run), schema)
 
 
 def _logit(p: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .arrowtext import U, buffers, mix, prefix_hash, slices, span_hash
+from .arrowtext import U, buffers, mix, prefix_hash, slices, span_hash, tidy
 from .tokens import _spread
 
 CHUNK = 1_000_000
@@ -448,16 +448,16 @@ def repeated_strings(docs: DataFrame, key: str, text: str, length: int = 200, te
     scratch.small_batches(spark)
     buckets = 2 * scratch.partitions(spark)
     slim = docs.select(F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("id"))
-    found = slim.select("text").mapInArrow(_scan(length, buckets), ROW)
+    found = slim.select("text").mapInArrow(tidy(_scan(length, buckets)), ROW)
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "kind")
     # anchors go to their owners; spans settled within a chunk pass through with them, so texts are hashed once
-    owned = scratch.table(by_bucket(found).mapInArrow(_split(length), ROW), "settled")
-    packed = slim.mapInArrow(_texts(1), ROW)
+    owned = scratch.table(by_bucket(found).mapInArrow(tidy(_split(length)), ROW), "settled")
+    packed = slim.mapInArrow(tidy(_texts(1)), ROW)
     asked = owned.where("kind = 2")
-    shipped = by_bucket(packed.unionByName(asked)).mapInArrow(_ship(length, buckets), ROW)
-    matched = scratch.table(shipped.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_match(length), ROW), "matched")
+    shipped = by_bucket(packed.unionByName(asked)).mapInArrow(tidy(_ship(length, buckets)), ROW)
+    matched = scratch.table(shipped.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(tidy(_match(length)), ROW), "matched")
     spans = owned.where("kind = 1").unionByName(matched)
-    out = by_bucket(packed.unionByName(spans)).mapInArrow(_finish(texts), "id long, n_bytes long, n_removed long, n_spans long, kept string")
+    out = by_bucket(packed.unionByName(spans)).mapInArrow(tidy(_finish(texts)), "id long, n_bytes long, n_removed long, n_spans long, kept string")
     return out.withColumnRenamed("id", key)
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .arrowtext import tidy
 from .tokens import _spread, default_path, encoded
 
 END = 2
@@ -70,7 +71,7 @@ def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1, np.int64)
         for batch in batches:
-            for i, j, ids, _ in encoded(batch.column(0), path):
+            for i, j, ids, _ in encoded(batch.column(0), path, 2_000_000):
                 more = np.bincount(ids, minlength=END + 1)
                 more[END] += j - i
                 if len(more) < len(seen):
@@ -85,7 +86,7 @@ def _counts(path: str):
 
 def frequency_order(docs: DataFrame, text: str, path: str) -> np.ndarray:
     """Ids by falling corpus frequency, over all documents. Its size is the vocabulary's, whatever the corpus."""
-    rows = docs.select(text).mapInArrow(_counts(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
+    rows = docs.select(text).mapInArrow(tidy(_counts(path)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
     return np.array([r["id"] for r in rows], np.uint32)
 
 
@@ -94,7 +95,7 @@ def _encode(path: str, order: np.ndarray):
         rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         for batch in batches:
-            for i, j, ids, out in encoded(batch.column(2), path):
+            for i, j, ids, out in encoded(batch.column(2), path, 2_000_000):
                 ids, out = with_end(ids, out)
                 control, c_off, data, d_off = code(rank[ids], out)
                 control, data = control.tobytes(), data.tobytes()
@@ -158,8 +159,8 @@ def write(docs: DataFrame, key: str, text: str, path: str | None = None, block_i
     # bounds are part of the plan, so that sorting the key ranges needs no sampling run over the texts
     bounds = sorted(set(cuts))
     bucket = F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col(key)))) if bounds else F.lit(0)
-    coded = docs.select(bucket.cast("int").alias("bucket"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_encode(path, order), "bucket int, key long, n long, control binary, data binary")
-    blocks = coded.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_blocks(block_ids), BLOCK)
+    coded = docs.select(bucket.cast("int").alias("bucket"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidy(_encode(path, order)), "bucket int, key long, n long, control binary, data binary")
+    blocks = coded.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(tidy(_blocks(block_ids)), BLOCK)
     return scratch.table(blocks, "tokens"), order
 
 
@@ -173,7 +174,7 @@ def read(blocks: DataFrame, order: np.ndarray) -> DataFrame:
             cells = [raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([key, pa.array(start + ends[:-1]), pa.array(counts, pa.int64()), pa.array(cells, pa.binary())], ["key", "start", "n_tokens", "ids"])
 
-    return _placed(blocks).mapInArrow(run, "key long, start long, n_tokens long, ids binary")
+    return _placed(blocks).mapInArrow(tidy(run), "key long, start long, n_tokens long, ids binary")
 
 
 def _placed(blocks: DataFrame) -> DataFrame:
@@ -202,4 +203,4 @@ def op7_token_files(spark, sf_dir: str) -> DataFrame:
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([key, pa.array(start + ends[:-1]), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _placed(blocks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(blocks).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -18,8 +18,6 @@ from .arrowtext import U, buffers, prefix_hash, slices, span_hash
 SLOTS = 1 << 21  # pieces remembered by a worker, 16 bytes each
 POOL = 8_000_000  # ids remembered by a worker
 
-STEP = 2_000_000  # bytes of text at once
-
 # byte classes: 0 space, 1 other white space, 2 letter, 3 digit, 4 other, 5 not plain
 CLASS = np.full(256, 5, np.uint8)
 CLASS[0x20] = 0
@@ -181,10 +179,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, path: str, step: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, offsets) of slices of a string column; null: empty."""
     enc = encoder(path)
     raw, offsets, _ = buffers(column)
-    for i, j in slices(offsets, STEP):
+    for i, j in slices(offsets, step):
         ids, out = enc(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         yield i, j, ids, out
