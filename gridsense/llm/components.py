@@ -19,9 +19,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = both.unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # small star: only neighbours below the node, which edges (a > b) already give
     low = both.groupBy("u").agg(F.min("v").alias("w")).withColumn("m", F.least("u", "w"))
-    # a node with very many neighbours meets its least one in SALTS places, and the planner may split those again
+    # a node with very many neighbours meets its least one in SALTS places, and the planner may split those again;
+    # salted rows compress so well that the planner would take them for small, so they are never broadcast
     salted = low.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"])
+    out = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["u", "salt"])
     moved = out.where((F.col("v") > F.col("u")) if large else (F.col("v") != F.col("m"))).select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
