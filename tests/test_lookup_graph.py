@@ -54,6 +54,16 @@ def test_a_label_without_its_blank_is_found(spark):
     assert lookup.lookup(spark.createDataFrame([("Newyork",)], "mention string"), found).first().entity == "Q5"
 
 
+def test_frequent_tokens_are_keys_beside_rarer_ones(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "FREQUENT", 3)
+    found = index(spark, [(f"S{k}", 0.0, [f"Supplier {k * 1111:04}"], None, None) for k in range(1, 9)])
+    hits = lookup.hits(spark.createDataFrame([("supplier 3333",), ("supplier 9876",)], "mention string"), found).join(found, "label_id").collect()
+    got = {(r.mention, r.entity): r.bm25 for r in hits}
+    assert set(got) == {(m, f"S{k}") for m in ("supplier 3333", "supplier 9876") for k in range(1, 9)}
+    # each hit has the share of the common token; only the equal label has more
+    assert len({round(v, 9) for (m, e), v in got.items() if (m, e) != ("supplier 3333", "S3")}) == 1 and got["supplier 3333", "S3"] > got["supplier 3333", "S4"]
+
+
 EDGES = [("A", "P1", False, "B", "NORMAL", 0), ("C", "P2", False, "H", "NORMAL", 0), ("D", "P3", False, "H", "PREFERRED", 0), ("E", "P361", False, "H", "NORMAL", 0), ("H", "P361", False, "F", "NORMAL", 0), ("A", "P585", False, "1994", "DateTime-Year", 0), ("T1", "P279", False, "T2", "NORMAL", 0), ("T2", "P279", False, "T3", "NORMAL", 0), ("A", "P31", False, "T1", "NORMAL", 0), ("B", "P31", False, "T1", "NORMAL", 0), ("B", "P106", False, "T2", "NORMAL", 0)]
 
 
