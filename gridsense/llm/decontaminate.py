@@ -3,8 +3,9 @@
 The benchmark is the query set. Its items' words (letters and digits, lowered) are the features; their document
 frequencies are counted over all documents. A randomised SVD of the items' TF-IDF matrix, with the products summed
 from tasks over the items, gives the latent space. Documents are cut into overlapping windows, for each class of item
-lengths of a size that holds a whole item; a window is projected and compared with all items by cosine. What is close
-enough is confirmed: the longest common subsequence of words must cover most of the item, and an item's answer, if it
+lengths of a size that holds a whole item; a window is projected and compared with all items by cosine. Since fewer
+dimensions than items lose some of them, and much other text in a window lowers its cosine, every item of which the
+window brings enough by the exact TF-IDF product is close too. What is close is confirmed: the longest common subsequence of words must cover most of the item, and an item's answer, if it
 has one, must stand in the window. Very frequent words are left out of the features, but every item keeps its rarest.
 Larger benchmarks are taken in blocks of items.
 """
@@ -30,6 +31,7 @@ COSINE = 0.35
 MASS = 0.25  # of an item's squared length that the window must bring
 COVER = 0.7  # of an item's words that the subsequence must cover
 SHORT = 10  # items of fewer words must be covered whole
+CELLS = 2_000_000  # products of windows and items that are held at once
 TABLE = 22
 
 _BREAK = np.zeros(256, bool)
@@ -104,10 +106,27 @@ class Items:
             most[f] = np.maximum(most[f], c)
         self.bound = self.idf**2 * most  # what a hit can add to the product with any item, at most
         self.square = np.array([(v * v).sum() for _, v in self.rows])
+        self.postings = {}  # by scale: for each feature the items, by place in their scale, and what a hit adds to the product
+        for scale in np.unique(self.scale).tolist():
+            mine = [self.rows[k] for k in np.flatnonzero(self.scale == scale)]
+            f = np.concatenate([f for f, _ in mine])
+            order = np.argsort(f, kind="stable")
+            item = np.repeat(np.arange(len(mine)), [len(f) for f, _ in mine])[order]
+            adds = (np.concatenate([v for _, v in mine]) * self.idf[f])[order]
+            self.postings[scale] = np.searchsorted(f[order], np.arange(len(self.features) + 1)), item, adds
+
+    def product(self, scale: int, windows: int, window: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """(windows, items of the scale): the exact TF-IDF product, from hits of features in windows."""
+        start, item, adds = self.postings[scale]
+        many = int((self.scale == scale).sum())
+        n = start[f + 1] - start[f]
+        at = np.repeat(start[f] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(np.repeat(window, n) * many + item[at], adds[at], windows * many).reshape(windows, many)
 
     def project(self, basis: np.ndarray) -> None:
         self.word_vectors = (self.idf[:, None] * basis).astype(np.float32)
         self.latent = np.stack([basis[f].T @ v for f, v in self.rows]).astype(np.float32)
+        self.spanned = basis.shape[1] >= min(len(self.rows), len(self.features))  # then latent products are exact
 
     def confirm(self, item: int, window: np.ndarray) -> float:
         """The covered share of the item's words if it suffices and the answer is there, else 0. Bit-parallel LCS."""
@@ -222,14 +241,19 @@ def _windows(items: Items, table, norms, h, row, rows: int):
         a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
         full = b > a
         of, lo, hi, a, b = of[full], lo[full], hi[full], a[full], b[full]
-        for k in range(0, len(of), 4096):
-            part = slice(k, k + 4096)
+        many = max(1, min(4096, CELLS // len(mine)))
+        for k in range(0, len(of), many):
+            part = slice(k, k + many)
             n = b[part] - a[part]
             starts = np.cumsum(n) - n
             index = np.repeat(a[part] - starts, n) + np.arange(int(n.sum()))
             w = np.add.reduceat(items.word_vectors[f[index]], starts, axis=0)
             dot = w @ items.latent[mine].T
-            near = (dot >= COSINE * np.sqrt((w * w).sum(axis=1))[:, None] * norms[mine]) & (dot >= MASS * norms[mine] ** 2)
+            if items.spanned:
+                near = dot >= MASS * norms[mine] ** 2
+            else:
+                near = (dot >= COSINE * np.sqrt((w * w).sum(axis=1))[:, None] * norms[mine]) & (dot >= MASS * norms[mine] ** 2)
+                near |= items.product(int(scale), len(n), np.repeat(np.arange(len(n)), n), f[index]) >= MASS * items.square[mine]
             for x, y in zip(*np.nonzero(near), strict=True):
                 r, m = int(of[k + x]), int(mine[y])
                 if best.get((r, m), 0.0) < 1.0:

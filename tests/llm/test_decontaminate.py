@@ -52,6 +52,15 @@ def test_blocks_of_items(spark, monkeypatch):
     assert found(spark, [ITEMS[0][1], ITEMS[2][1], "nothing here"]) == {0: 1, 1: 3}
 
 
+def test_verbatim_items_are_found_in_blocks_of_more_items_than_dimensions(spark):
+    # the longer items take all dimensions and stand around the shorter ones
+    strong = [" ".join(f"strong{k}x{i}" for i in range(12)) for k in range(600)]
+    items = list(enumerate(strong + [" ".join(f"weak{k}x{i}" for i in range(5)) for k in range(600)]))
+    docs = spark.createDataFrame([(k, f"{strong[k % 599]} {t} {strong[(k + 7) % 599]}") for k, t in items], "doc_id long, text string")
+    pairs = decontaminate.matches(docs, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    assert {k for k, _ in items} - {r.rid for r in pairs.collect() if r.rid == r.item} == set()
+
+
 def test_svd(spark):
     rng = np.random.default_rng(1)
     dense = (rng.random((12, 30)) < 0.2) * rng.random((12, 30))
