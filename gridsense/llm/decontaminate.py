@@ -6,7 +6,7 @@ from tasks over the items, gives the latent space. Documents are cut into overla
 lengths of a size that holds a whole item; a window is projected and compared with all items by cosine. Since fewer
 dimensions than items lose some of them, and much other text in a window lowers its cosine, every item of which the
 window brings enough by the exact TF-IDF product is close too. What is close is confirmed: the longest common subsequence of words must cover most of the item, and an item's answer, if it
-has one, must stand in the window. Very frequent words are left out of the features, but every item keeps its rarest.
+has one, must stand in the window: all words of a short one, most of a longer one in order. Very frequent words are left out of the features, but every item keeps its rarest.
 Larger benchmarks are taken in blocks of items.
 """
 
@@ -31,6 +31,7 @@ COSINE = 0.35
 MASS = 0.25  # of an item's squared length that the window must bring
 COVER = 0.7  # of an item's words that the subsequence must cover
 SHORT = 10  # items of fewer words must be covered whole
+ANSWER = 5  # answers of more words need only be covered as items are
 CELLS = 2_000_000  # products of windows and items that are held at once
 TABLE = 22
 
@@ -61,7 +62,7 @@ class Items:
         for i, t in zip(ids, texts, strict=True):
             w = self._words(t)
             if len(w):
-                pairs.append((i, w, set(self._words(answer(t)).tolist())))
+                pairs.append((i, w, self._words(answer(t))))
         self.ids = [p[0] for p in pairs]
         self.words = [p[1] for p in pairs]
         self.answers = [p[2] for p in pairs]
@@ -130,26 +131,35 @@ class Items:
 
     def confirm(self, item: int, window: np.ndarray) -> float:
         """The covered share of the item's words if it suffices and the answer is there, else 0. Bit-parallel LCS."""
-        mine = self.words[item]
+        mine, answer = self.words[item], self.answers[item]
         n = len(mine)
-        masks: dict[int, int] = {}
-        for k, w in enumerate(mine.tolist()):
-            masks[w] = masks.get(w, 0) | 1 << k
-        full = (1 << n) - 1
-        v = full
-        for w in window.tolist():
-            m = masks.get(w)
-            if m:
-                u = v & m
-                v = ((v + u) | (v - u)) & full
-        lcs = n - v.bit_count()
+        lcs = _common(mine, window)
         if lcs < (n if n < SHORT else COVER * n):
             return 0.0
-        if self.answers[item] and not self.answers[item] <= set(window.tolist()):
+        if len(answer) > ANSWER:
+            if _common(answer, window) < COVER * len(answer):
+                return 0.0
+        elif not set(answer.tolist()) <= set(window.tolist()):
             return 0.0
         return lcs / n
 
 
+def _common(mine: np.ndarray, window: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    n = len(mine)
+    masks: dict[int, int] = {}
+    for k, w in enumerate(mine.tolist()):
+        masks[w] = masks.get(w, 0) | 1 << k
+    full = (1 << n) - 1
+    v = full
+    for w in window.tolist():
+        m = masks.get(w)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
 def _frequencies(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n, rows = items.lookup(), np.zeros(len(items.vocabulary), np.int64), 0

@@ -40,6 +40,16 @@ def test_copies_and_paraphrases_are_found_and_clean_texts_left(spark):
     assert got == {n: 1, n + 1: 1, n + 2: 2, n + 4: 3, n + 5: 1}
 
 
+def test_long_answers_need_not_be_covered_whole(spark):
+    ask = "Which harbour did velvet marmots quietly abandon after luminous thunderstorms?"
+    passage = [f"passage{k}" for k in range(24)]
+    long_ask = " ".join(f"premise{k}" for k in range(30)) + "?"
+    items = [(1, f"{ask} {' '.join(passage)}"), (2, f"{long_ask} {' '.join(f'option{k}' for k in range(12))}"), (3, f"{long_ask.replace('premise', 'fact')} Answer: crimson dioxide")]
+    one_changed = f"{ask} {' '.join(passage[:9] + ['other'] + passage[10:])}"
+    texts = [one_changed, f"{long_ask} {' '.join(f'else{k}' for k in range(12))}", items[2][1], items[2][1].replace("dioxide", "oxide")]
+    assert found(spark, texts, items) == {0: 1, 2: 3}
+
+
 def test_empty_inputs(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
