@@ -5,16 +5,18 @@ comments and the like are dropped by tag, role or class. If the page has an `art
 outside it go too, and its headings, paragraphs, list items, cells and quotes are settled. All other lines are open.
 
 Each page is paired with the page of its host whose URL path is nearest: pages are sorted by host, path and id, and
-of the two neighbours the one with the longer common prefix is taken (ties: the earlier one; a neighbour with the
-same lines is passed over, since a copy tells nothing). Both pages' lines are aligned by longest common subsequence,
-and open lines that the alignment shares are deleted. Sorting is by ranges with the edge rows of neighbouring ranges
-added, so a host with a third of all pages is spread over many tasks and the result does not depend on the ranges.
+of the nearest page before and the nearest after it with other lines the one with the longer common prefix is taken
+(ties: the earlier one; pages with the same lines are passed over, since a copy tells nothing). Both pages' lines are
+aligned by longest common subsequence, and open lines that the alignment shares are deleted. Sorting is by ranges; to
+each the nearest pages outside it with other lines than its edge rows are added, so a host with a third of all pages is
+spread over many tasks and the result does not depend on the ranges.
 """
 
 from __future__ import annotations
 
 import bisect
 import html
+import itertools
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -22,7 +24,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -221,42 +223,70 @@ def _common(a: str, b: str) -> int:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From pages in order, the lines that stay of each open page. Holds three pages at a time."""
+    """From pages in order, the lines that stay of each open page. Holds the lines of three pages at a time, and what
+    is short of a run of pages with the same lines."""
 
-    def rows():
+    def runs():
+        run = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield dict(zip(batch.schema.names, row, strict=True))
-
-    def decided(before, page, after):
-        if page is None or page["ghost"] or not page["open"]:
-            return None
-        mine = np.frombuffer(page["hashes"], np.uint64).tolist()
-        near = [x for x in (before, after) if x and x["host"] == page["host"] and x["hashes"] != page["hashes"]]
-        keep = [True] * len(mine)
-        if near:
-            other = max(near, key=lambda x: _common(x["path"], page["path"]))
-            use = shared(mine, np.frombuffer(other["hashes"], np.uint64).tolist())
-            keep = [k == KEEP or not u for k, u in zip(page["kept"], use, strict=True)]
-        return page["rid"], bytes(keep)
+            for rid, host, path, bucket, kept, hashes, open_, ghost in zip(*(batch.column(c).to_pylist() for c in ("rid", "host", "path", "bucket", "kept", "hashes", "open", "ghost")), strict=True):
+                if run is None or run["key"] != (bucket, host, hashes):
+                    if run:
+                        yield run
+                    run = {"key": (bucket, host, hashes), "first": path, "pages": []}
+                run["last"] = path
+                if open_ and not ghost:
+                    run["pages"].append((rid, path, kept))
+        if run:
+            yield run
+
+    def decided(before, run, after):
+        bucket, host, hashes = run["key"]
+        mine = np.frombuffer(hashes, np.uint64).tolist()
+        near = [(x, path) for x, path in ((before, before and before["last"]), (after, after and after["first"])) if x and x["key"][:2] == (bucket, host)]
+        uses: dict[int, list[bool]] = {}  # all pages of the run have the same lines
+        for rid, path, kept in run["pages"]:
+            keep = [True] * len(mine)
+            if near:
+                k = max(range(len(near)), key=lambda k: _common(near[k][1], path))
+                if k not in uses:
+                    uses[k] = shared(mine, np.frombuffer(near[k][0]["key"][2], np.uint64).tolist())
+                keep = [s == KEEP or not u for s, u in zip(kept, uses[k], strict=True)]
+            yield rid, bytes(keep)
+
+    def pack(done):
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in done], pa.int64()), pa.array([k for _, k in done], pa.binary())], ["rid", "stay"])
 
     done: list[tuple[int, bytes]] = []
     window: list = [None, None]
-    at = None
-    for row in rows():
-        if row["bucket"] != at:
-            if (d := decided(window[0], window[1], None)) is not None:
+    for run in itertools.chain(runs(), [None]):
+        if window[1]:
+            for d in decided(window[0], window[1], run):
                 done.append(d)
-            at, window = row["bucket"], [None, None]
-        if (d := decided(window[0], window[1], row)) is not None:
-            done.append(d)
-        window = [window[1], row]
-        if len(done) >= 5000:
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in done], pa.int64()), pa.array([k for _, k in done], pa.binary())], ["rid", "stay"])
-            done = []
-    if (d := decided(window[0], window[1], None)) is not None:
-        done.append(d)
-    yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in done], pa.int64()), pa.array([k for _, k in done], pa.binary())], ["rid", "stay"])
+                if len(done) >= 5000:
+                    yield pack(done)
+                    done = []
+        window = [window[1], run]
+    yield pack(done)
+
+
+def _beyond(edges: list, step: int) -> list[tuple[int, int]]:
+    """(bucket, rid) of the nearest page before (step -1) or after (step 1) each range whose lines or host differ from
+    those of the range's edge row. `edges`, by bucket: first and last row, and the rids of the rows next to them that
+    differ from them, null if none does."""
+    out = []
+    for k, e in enumerate(edges):
+        mine, j = e["first" if step < 0 else "last"]["sig"], k + step
+        while 0 <= j < len(edges):
+            side = "last" if step < 0 else "first"
+            if edges[j][side]["sig"] != mine:
+                out.append((e["bucket"], edges[j][side]["rid"]))
+                break
+            if edges[j][f"{side}_other"] is not None:
+                out.append((e["bucket"], edges[j][f"{side}_other"]))
+                break
+            j += step
+    return out
 
 
 def _join_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,14 +312,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     rows = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(page)).mapInArrow(tidy(_parse(cuts)), ROW)
     rows = scratch.table(rows, "pages")
     slim = rows.select("rid", "page_id", "host", "path", "bucket", "kept", "hashes", "open").withColumn("ghost", F.lit(False))
-    order = F.struct("host", "path", "page_id", "rid")
-    whole = F.struct(*slim.columns)
-    # at most two rows a range cross its edges
-    edges = slim.groupBy("bucket").agg(F.max_by(whole, order).alias("last"), F.min_by(whole, order).alias("first"))
-    w = Window.orderBy("bucket")
-    beside = edges.select("bucket", F.array(F.lag("last").over(w), F.lead("first").over(w)).alias("xs"))
-    ghosts = beside.select("bucket", F.explode("xs").alias("x")).where("x is not null")
-    ghosts = ghosts.select(*[F.col("bucket") if c == "bucket" else F.lit(True).alias("ghost") if c == "ghost" else F.col(f"x.{c}").alias(c) for c in slim.columns])
+    # a run of equal pages may cross ranges: of each range its edge rows, and the rows nearest to these that differ
+    sig = slim.select("bucket", "rid", F.struct("host", "path", "page_id", "rid").alias("o"), F.xxhash64("host", "hashes").alias("sig"))
+    row = F.struct("rid", "sig")
+    edges = scratch.table(sig.groupBy("bucket").agg(F.max_by(row, "o").alias("last"), F.min_by(row, "o").alias("first")), "edges")
+    # one row a range
+    other = sig.join(F.broadcast(edges), "bucket").groupBy("bucket")
+    other = other.agg(F.max(F.when(F.col("sig") != F.col("last.sig"), F.col("o")))["rid"].alias("last_other"), F.min(F.when(F.col("sig") != F.col("first.sig"), F.col("o")))["rid"].alias("first_other"))
+    found = edges.join(other, "bucket").orderBy("bucket").collect()
+    beyond = spark.createDataFrame(_beyond(found, -1) + _beyond(found, 1), "to int, rid long")
+    ghosts = slim.join(F.broadcast(beyond), "rid")
+    ghosts = ghosts.select(*[F.col("to").alias(c) if c == "bucket" else F.lit(True).alias(c) if c == "ghost" else F.col(c) for c in slim.columns])
     order = ["bucket", "host", "path", "page_id", "rid"]
     stay = slim.unionByName(ghosts).repartition("bucket").sortWithinPartitions(*order).mapInArrow(tidy(_differences), "rid long, stay binary")
     open_ = rows.where("open").join(stay, "rid").select("page_id", "url", "text", "stay").mapInArrow(tidy(_join_kept), "page_id long, url string, text string")

@@ -44,6 +44,15 @@ def test_settled_lines_stay_though_shared(spark):
     assert run(spark, [page(both.format("x"), path="/1"), page(both.format("y"), path="/2")]) == {0: "Shared sentence.\nx", 1: "Shared sentence.\ny"}
 
 
+def test_copies_are_differenced_against_the_nearest_other_page(spark):
+    body = "<div>Welcome to us</div><div>{}</div><div>All rights reserved</div>"
+    between = [page(body.format("first"), path="/a/0")] + [page(body.format("same"), path=f"/a/{k}") for k in range(1, 6)] + [page(body.format("last"), path="/a/6")]
+    want = {0: "first", **{k: "same" for k in range(1, 6)}, 6: "last"}
+    assert run(spark, between, ranges=1) == want
+    # ranges that hold nothing but copies
+    assert run(spark, between, ranges=7) == want
+
+
 def test_ranges_change_nothing(spark):
     pages = site(40) + site(7, "z.example")
     assert run(spark, pages, ranges=1) == run(spark, pages, ranges=13)
