@@ -38,6 +38,36 @@ def test_brute_force(spark, dim, monkeypatch):
     assert got == brute(rows, 0.95)
 
 
+def test_pairs_close_to_the_threshold_count_once(spark):
+    rng = np.random.default_rng(5)
+    dim, base = 64, rng.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    rows = []
+    for k, b in enumerate(base):
+        for j in range(4):
+            # cosines of 0.94 to 0.97 with the base: half of the pairs are just below the threshold
+            side = rng.standard_normal(dim)
+            side -= (side @ b) * b
+            side /= np.linalg.norm(side)
+            c = rng.uniform(0.94, 0.97)
+            rows.append((8 * k + j, (c * b + np.sqrt(1 - c * c) * side).tolist()))
+        rows.append((8 * k + 7, b.tolist()))
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    expected = [int((x[lo : lo + 500] @ x.T >= 0.95)[i].sum()) - 1 for lo in range(0, len(x), 500) for i in range(min(500, len(x) - lo))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.link(df, "vec_id", "embedding", 0.95).collect()}
+    assert sum(expected) > 3000 and [got[k] for k, _ in rows] == expected
+
+
+def test_several_vectors_under_one_key_give_a_row_each(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (5, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.01]), (9, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in vectors.link(df, "vec_id", "embedding", 0.95).collect())
+    assert got == brute(rows, 0.95)
+    assert [r[0] for r in got] == [5, 5, 5, 7, 9]
+
+
 def test_many_copies_and_empty(spark):
     rows = [(k, [1.0, 2.0, 3.0]) for k in range(300)] + [(1000, [3.0, -1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
