@@ -7,7 +7,7 @@ cut at medians of a bounded sample, gives every vector one home cell, and the ve
 within the block's radius as a guest. A cell with many vectors is dealt into chunks of bounded size, each of which
 meets the cell's other vectors as a stream. Within a task a second tree over the chunk leaves few pairs to compare.
 
-Rotated coordinates are rounded to a grid of 2**-20, and budgets are widened by what rounding can add. Distances in a
+Rotated coordinates are rounded to a grid of 2**-14, and budgets are widened by what rounding can add. Distances in a
 block are then exact whole numbers wherever they are computed, so a pair that several blocks propose counts in the
 first of them and in no other, and nothing has to be made distinct. Candidates are verified by cosine in double
 precision. Tasks return sums of links and spanning forests, never pairs.
@@ -28,7 +28,7 @@ from . import scratch
 from .components import components
 
 BLOCK_DIMS = 8
-GRID = 1 << 20
+GRID = 1 << 14  # coordinates fit 16 bits
 CHUNK = 16384  # vectors of a cell that a task holds
 LEAF = 128  # vectors of a chunk that are compared at once
 BATCH = 8192  # vectors that meet a chunk at once
@@ -174,7 +174,7 @@ def _vectors(column, dim: int) -> np.ndarray:
 
 def _grid(column, dim: int) -> np.ndarray:
     offsets, data = _bytes(column)
-    return data[offsets[0] : offsets[-1]].view("<i4").reshape(-1, dim).astype(np.float64)
+    return data[offsets[0] : offsets[-1]].view("<i2").reshape(-1, dim).astype(np.float64)
 
 
 def _rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def _rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = values[ends[at][:, None] + np.arange(dim)]
             single = x.astype("<f4")
             short = (single == x).all(axis=1)
-            y = np.rint(_unit(x) @ rotation(dim) * GRID).astype("<i4")
+            y = np.rint(_unit(x) @ rotation(dim) * GRID).astype("<i2")
             for k, row in enumerate(at.tolist()):
                 raw[row] = single[k] if short[k] else x[k]
                 grid[row] = y[k]
@@ -201,7 +201,7 @@ def _cells(sample: list, counts: dict[int, int], cosine: float) -> dict[int, lis
     """For each length, the cells of each block and the number of chunks of each cell."""
     out = {}
     for dim, n in counts.items():
-        y = np.array([np.frombuffer(r["grid"], "<i4") for r in sample if r["dim"] == dim], np.float64).reshape(-1, dim)
+        y = np.array([np.frombuffer(r["grid"], "<i2") for r in sample if r["dim"] == dim], np.float64).reshape(-1, dim)
         share = max(1, n) / max(1, len(y))
         out[dim] = []
         for d, budget in layout(dim, cosine):
@@ -222,30 +222,24 @@ def _deal(cells: dict[int, list[tuple[Cells, list[int]]]], cosine: float):
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 y = _grid(batch.column(4).take(pa.array(at)), dim)
+                parts = []  # rows of the batch, block, cell, chunk, kind
                 for block, (d, budget) in enumerate(layout(dim, cosine)):
                     tree, chunks = cells[dim][block]
                     chunks = np.array(chunks)
                     home = tree.homes(y[:, d])
-                    rows, leaf, chunk, guest = [at], [home], [(nodes[at] * 2654435761 >> 7) % chunks[home]], [np.zeros(len(at), bool)]
+                    parts.append((at, np.full(len(at), block), home, (nodes[at] * 2654435761 >> 7) % chunks[home], np.zeros(len(at), np.int64)))
                     for node, near in tree.within(y[:, d], budget):
                         number = tree.number[node]
                         near = near[home[near] >= number]
-                        for c in range(chunks[number]):
-                            rows.append(at[near])
-                            leaf.append(np.full(len(near), number))
-                            chunk.append(np.full(len(near), c))
-                            guest.append(np.ones(len(near), bool))
-                    rows, leaf, chunk, guest = (np.concatenate(x) for x in (rows, leaf, chunk, guest))
-                    own = np.empty(len(nodes), np.int64)
-                    own[at] = home
-                    for k in range(0, len(rows), 10_000):
-                        s = slice(k, k + 10_000)
-                        taken = batch.select([0, 1, 2, 3, 4]).take(pa.array(rows[s]))
-                        kind = np.where(guest[s], np.where(leaf[s] == own[rows[s]], 1, 2), 0)
-                        yield pa.RecordBatch.from_arrays(
-                            [*taken.columns, pa.array(np.full(len(kind), block, np.int32)), pa.array(leaf[s].astype(np.int32)), pa.array(chunk[s].astype(np.int32)), pa.array(kind.astype(np.int32))],
-                            ["node", "dim", "m", "vec", "grid", "block", "cell", "chunk", "kind"],
-                        )
+                        kind = np.where(home[near] == number, 1, 2)
+                        parts += [(at[near], np.full(len(near), block), np.full(len(near), number), np.full(len(near), c), kind) for c in range(chunks[number])]
+                rows, *keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+                # rows of one vector side by side: what is shuffled then compresses well
+                order = np.argsort(rows, kind="stable")
+                for k in range(0, len(rows), 10_000):
+                    some = order[k : k + 10_000]
+                    taken = batch.take(pa.array(rows[some]))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(x[some].astype(np.int32)) for x in keys)], ["node", "dim", "m", "vec", "grid", "block", "cell", "chunk", "kind"])
 
     return run
 
