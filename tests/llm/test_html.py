@@ -1,3 +1,5 @@
+import random
+
 from gridsense.llm import html
 
 
@@ -6,7 +8,7 @@ def page(body, host="h.example", path="/a/1"):
 
 
 def text(body):
-    return "\n".join(t for t, _ in html.lines(page(body)[1]))
+    return "\n".join(t for t, state in html.lines(page(body)[1]) if state != html.MARKED)
 
 
 def test_structure():
@@ -25,6 +27,82 @@ def test_odd_markup():
     assert text("<p>  wide \t\n space 　</p>") == "wide space"
 
 
+def test_vague_names_are_left_to_differencing():
+    body = """<article><div class="entry-header"><h1>Headline</h1><span>By X</span></div><div class="social-policy"><p>Policy</p></div>
+    <div class="social"><p>follow us</p></div><div class="ad-slot"><p>buy</p></div><button>go</button><p>text <label>mail</label> more</p></article><nav>Home</nav>"""
+    names = {html.KEEP: "keep", html.OPEN: "open", html.MARKED: "marked"}
+    assert [(t, names[s]) for t, s in html.lines(page(body)[1])] == [
+        ("Headline", "keep"), ("By X", "open"), ("Policy", "open"), ("follow us", "marked"), ("buy", "marked"),
+        ("go", "marked"), ("text", "keep"), ("mail", "marked"), ("more", "keep"), ("Home", "marked"),
+    ]
+
+
+def lcs(a, b):
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+    return size[0][0]
+
+
+def test_alignment_is_a_longest_one():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(14))] for _ in range(2))
+        used = [x for x, u in zip(a, html.shared(a, b), strict=True) if u]
+        rest = iter(b)
+        assert all(x in rest for x in used) and len(used) == lcs(a, b)
+
+
+def test_alignment_of_two_very_long_pages():
+    rng = random.Random(4)
+    a = list(range(20_000))
+    b = sorted(a, key=lambda x: x + rng.randrange(40))
+    used = html.shared(a, b)
+    assert len(used) == 20_000 and 5_000 < sum(used) < 20_000
+
+
+def test_brute_force(spark):
+    """The whole operator against a plain one: pages with distinct lines on several hosts, null and equal URLs."""
+    rng = random.Random(7)
+    menu = [f"menu {k}" for k in range(12)]
+    pages = []
+    for k in range(300):
+        host, path = rng.choice(["a.example", "b.example", "c.example"]), f"/{rng.choice('xy')}/{rng.randrange(40)}"
+        parts = rng.sample(menu, rng.randrange(6)) + [f"story {rng.randrange(25)}"] * rng.randrange(2)
+        rng.shuffle(parts)
+        tags = [rng.choice(["<div>{}</div>", "<nav>{}</nav>", "<div class='ad'>{}</div>"]).format(x) for x in parts]
+        if rng.random() < 0.5:
+            tags.insert(rng.randrange(len(tags) + 1), f"<article><p>main {rng.randrange(9)}</p><div class='x-notice'>{rng.choice(menu)}!</div></article>")
+        url, body = page("".join(tags), host, path)
+        pages.append((rng.choice([url, url, url, None]) if k % 10 == 0 else url, body))
+    order = sorted(range(len(pages)), key=lambda k: (*html.place(pages[k][0]), k))
+    parsed = [html.lines(body) for _, body in pages]
+    texts = [[t for t, _ in p] for p in parsed]
+    want = {}
+    for at, k in enumerate(order):
+        host, path = html.place(pages[k][0])
+        near = []
+        for step in (-1, 1):
+            j = at + step
+            while 0 <= j < len(order) and html.place(pages[order[j]][0])[0] == host and texts[order[j]] == texts[k]:
+                j += step
+            if 0 <= j < len(order) and html.place(pages[order[j]][0])[0] == host:
+                near.append(order[j])
+        same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        used = [False] * len(texts[k])
+        if near:
+            best = max(near, key=lambda j: same(html.place(pages[j][0])[1], path))
+            used = html.shared(texts[k], texts[best])
+        kept = [t for (t, s), u in zip(parsed[k], used, strict=True) if s == html.KEEP or (s == html.OPEN and not u)]
+        want[k] = ("\n".join(kept), len(texts[k]), sum(u and s != html.KEEP for (_, s), u in zip(parsed[k], used, strict=True)))
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    for ranges in (1, 9):
+        got = {r.page_id: (r.text, r.n_lines, r.n_shared) for r in html.differences(df, ranges=ranges).collect()}
+        assert got == want
+    assert sum(n for _, _, n in want.values()) > 100
+
+
 def run(spark, pages, **more):
     df = spark.createDataFrame([(k, u, h, "x") for k, (u, h) in enumerate(pages)], "page_id long, url string, html string, text string")
     return {r.page_id: r.text for r in html.extract(df, **more).collect()}
