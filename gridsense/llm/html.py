@@ -227,7 +227,7 @@ def _parse(cuts: list[tuple[str, str, int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
             for page_id, url, page in zip(*(batch.column(k) for k in range(3)), strict=True):
