@@ -1,13 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval and longest common subsequences.
 
-The benchmark is the query set. Its items' words (letters and digits, lowered) are the features; their document
-frequencies are counted over all documents. A randomised SVD of the items' TF-IDF matrix, with the products summed
-from tasks over the items, gives the latent space. Documents are cut into overlapping windows, for each class of item
-lengths of a size that holds a whole item; a window is projected and compared with all items by cosine. Since fewer
-dimensions than items lose some of them, and much other text in a window lowers its cosine, every item of which the
-window brings enough by the exact TF-IDF product is close too. What is close is confirmed: the longest common subsequence of words must cover most of the item, and an item's answer, if it
-has one, must stand in the window: all words of a short one, most of a longer one in order. Very frequent words are left out of the features, but every item keeps its rarest.
-Larger benchmarks are taken in blocks of items.
+The benchmark is the query set, and its words (letters and digits, lowered) are the vocabulary. The corpus is read
+once and written as numbers of vocabulary words; all later passes read that. Document frequencies are counted over all
+documents. The corpus is cut into passages, and a randomised SVD of their TF-IDF matrix over the vocabulary gives the
+latent space: tasks sum the passages' products of two words, which are the entries of A'A, and subspace iteration
+multiplies them from tasks. Words that the corpus uses alike are close there, though no passage holds both.
+
+Documents are cut again, into overlapping windows, for each class of item lengths of a size that holds a whole item; a
+window is projected and compared with all items by cosine. A space of few dimensions says little of an item of words
+that nothing relates, and much other text in a window lowers its cosine, so every item of which the window brings
+enough by the exact TF-IDF product is a candidate too. A candidate must have enough words of the item at all, and is
+then confirmed: the longest common subsequence of words must cover most of the item, and an item's answer, if it has
+one, must stand in the window: all words of a short one, most of a longer one in order. Very frequent words are left
+out of the features, but every item keeps its rarest. Larger benchmarks are taken in blocks of items.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ from . import scratch
 from .arrowtext import LOWER, U, buffers, prefix_hash, slices, span_hash, words, tidy
 
 BLOCK_ITEMS = 10_000  # items of a block; what is sent to tasks is bounded by it
-RANK = 256
+RANK = 64  # dimensions of the latent space, and at most a quarter of the features
+PASSAGE = 64  # words of a passage
+ROUNDS = 3  # products of the subspace iteration
 COMMON = 0.05  # share of documents from which a word is too frequent to be a feature
 RAREST = 8  # features that an item keeps anyway
 COSINE = 0.35
@@ -33,6 +40,8 @@ COVER = 0.7  # of an item's words that the subsequence must cover
 SHORT = 10  # items of fewer words must be covered whole
 ANSWER = 5  # answers of more words need only be covered as items are
 CELLS = 2_000_000  # products of windows and items that are held at once
+WORDS = 100_000  # words of documents that are handled at once; a longer document is handled alone
+PAIRS = 1_000_000  # pairs of words that a task holds before it adds them up
 TABLE = 22
 
 _BREAK = np.zeros(256, bool)
@@ -67,26 +76,40 @@ class Items:
         self.words = [p[1] for p in pairs]
         self.answers = [p[2] for p in pairs]
         self.vocabulary = np.unique(np.concatenate(self.words)) if pairs else np.zeros(0, U)
-        self.features = self.vocabulary
         self.scale = np.array([max(16, 1 << int(len(w) - 1).bit_length()) for w in self.words], np.int64)
+        # the subsequence that confirms an item has as many words as this
+        self.need = np.array([len(w) if len(w) < SHORT else int(np.ceil(COVER * len(w))) for w in self.words], np.int64)
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.number = np.searchsorted(self.vocabulary, np.concatenate(self.words)) if pairs else np.zeros(0, np.int64)
 
     @staticmethod
     def _words(text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode(), np.uint8)
         return tokens(raw, np.array([0, len(raw)]))[0]
 
+    @property
+    def none(self) -> int:
+        """The number of words outside the vocabulary."""
+        return len(self.vocabulary)
+
+    @property
+    def kind(self) -> str:
+        return "<u2" if self.none < 1 << 16 else "<u4"
+
     def lookup(self) -> np.ndarray:
-        table = np.full(1 << TABLE, -1, np.int32)
-        table[(self.features >> U(64 - TABLE)).astype(np.int64)] = np.arange(len(self.features))
+        table = np.zeros(1 << TABLE, bool)
+        table[(self.vocabulary >> U(64 - TABLE)).astype(np.int64)] = True
         return table
 
-    def hits(self, h: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, feature) of the words that are features; two features with one slot are told apart by search."""
-        f = table[(h >> U(64 - TABLE)).astype(np.int64)]
-        at = np.flatnonzero(f >= 0)
-        f = np.searchsorted(self.features, h[at])
-        ok = (f < len(self.features)) & (self.features[np.minimum(f, len(self.features) - 1)] == h[at])
-        return at[ok], f[ok]
+    def code(self, h: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The number of each word."""
+        out = np.full(len(h), self.none, self.kind)
+        at = np.flatnonzero(table[(h >> U(64 - TABLE)).astype(np.int64)])
+        f = np.minimum(np.searchsorted(self.vocabulary, h[at]), self.none - 1)
+        ok = self.vocabulary[f] == h[at]
+        out[at[ok]] = f[ok]
+        return out
 
     def weigh(self, df: np.ndarray, documents: int) -> None:
         """Choose features by their document frequencies and weigh them."""
@@ -96,11 +119,11 @@ class Items:
             f = np.searchsorted(self.vocabulary, np.unique(w))
             use[f[np.argsort(-idf[f], kind="stable")[:RAREST]]] = True
         self.features, self.idf = self.vocabulary[use], idf[use]
+        self.feature = np.append(np.where(use, np.cumsum(use) - 1, -1), -1)  # by number of the word
         rows = []
-        for w in self.words:
-            f = np.searchsorted(self.features, w)
-            f = f[(f < len(self.features)) & (self.features[np.minimum(f, len(self.features) - 1)] == w)]
-            rows.append(np.unique(f, return_counts=True))
+        for start, size in zip(self.start, self.size, strict=True):
+            f = self.feature[self.number[start : start + size]]
+            rows.append(np.unique(f[f >= 0], return_counts=True))
         self.rows = [(f, c * self.idf[f]) for f, c in rows]
         most = np.ones(len(self.features))
         for f, c in rows:
@@ -125,9 +148,11 @@ class Items:
         return np.bincount(np.repeat(window, n) * many + item[at], adds[at], windows * many).reshape(windows, many)
 
     def project(self, basis: np.ndarray) -> None:
+        """Vectors of words, and of items at length 1 (0 if the space has nothing of them)."""
         self.word_vectors = (self.idf[:, None] * basis).astype(np.float32)
-        self.latent = np.stack([basis[f].T @ v for f, v in self.rows]).astype(np.float32)
-        self.spanned = basis.shape[1] >= min(len(self.rows), len(self.features))  # then latent products are exact
+        latent = np.stack([basis[f].T @ v for f, v in self.rows])
+        norm = np.sqrt((latent**2).sum(axis=1))[:, None]
+        self.latent = np.where(norm > 1e-9, latent / np.maximum(norm, 1e-9), 0).astype(np.float32)
 
     def confirm(self, item: int, window: np.ndarray) -> float:
         """The covered share of the item's words if it suffices and the answer is there, else 0. Bit-parallel LCS."""
@@ -160,38 +185,116 @@ def _common(mine: np.ndarray, window: np.ndarray) -> int:
     return n - v.bit_count()
 
 
-def _frequencies(items: Items):
+CODED = "rid long, words binary"
+
+
+def _coded(items: Items):
+    """Documents as numbers of words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n, rows = items.lookup(), np.zeros(len(items.vocabulary), np.int64), 0
+        table, width = items.lookup(), np.dtype(items.kind).itemsize
         for batch in batches:
-            raw, offsets, _ = buffers(batch.column(0))
-            rows += batch.num_rows
+            raw, offsets, _ = buffers(batch.column(1))
             for i, j in slices(offsets):
                 h, row = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at, f = items.hits(h, table)
-                seen = np.unique(row[at].astype(np.int64) * len(n) + f)
-                n += np.bincount(seen % len(n), minlength=len(n))
+                ends = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32) * np.int32(width)
+                words = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(items.code(h, table))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), words], ["rid", "words"])
+
+    return run
+
+
+def _documents(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(keys, numbers of words, where each document begins and the last ends) of documents of bounded length together."""
+    width = np.dtype(kind).itemsize
+    for batch in batches:
+        raw, offsets, _ = buffers(batch.column(1))
+        for i, j in slices(offsets, WORDS * width):
+            yield batch.column(0).slice(i, j - i), raw[offsets[i] : offsets[j]].view(kind), (offsets[i : j + 1] - offsets[i]) // width
+
+
+def _frequencies(items: Items):
+    """In how many documents each word of the vocabulary is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(items.none, np.int64)
+        for _, words, begin in _documents(batches, items.kind):
+            row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+            at = words < items.none
+            seen = np.unique(row[at] * items.none + words[at])
+            n += np.bincount(seen % items.none, minlength=items.none)
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], ["f", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["f", "n"])
 
     return run
 
 
-def randomised_svd(spark, rows: list[tuple[np.ndarray, np.ndarray]], features: int, rank: int, tasks: int = 8) -> np.ndarray:
-    """(features, rank) right singular vectors of the sparse matrix of `rows`; A'(A X) is summed from tasks."""
-    rank = min(rank, len(rows), features)
+def pair_products(passage: np.ndarray, f: np.ndarray, v: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(f * features + g, sum of products) over f <= g, of a sparse matrix sorted by passage and feature."""
+    end = np.searchsorted(passage, passage, "right")
+    many = end - np.arange(len(passage))
+    i = np.repeat(np.arange(len(passage)), many)
+    j = i + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+    key, inv = np.unique(f[i] * features + f[j], return_inverse=True)
+    return key, np.bincount(inv, v[i] * v[j], len(key))
+
+
+def _products(items: Items):
+    """The products of two features, summed over the passages of a task: each passage has length 1."""
+    features = len(items.features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added():
+            key, inv = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return key, np.bincount(inv, np.concatenate([v for _, v in held]), len(key))
+
+        def pack(key, v):
+            return pa.RecordBatch.from_arrays([pa.array(key // features), pa.array(key % features), pa.array(v)], ["f", "g", "v"])
+
+        for _, words, begin in _documents(batches, items.kind):
+            f = items.feature[words]
+            at = np.flatnonzero(f >= 0)
+            size = np.diff(begin)
+            count = -(-size // PASSAGE)
+            row = np.searchsorted(begin, at, "right") - 1
+            passage = (np.cumsum(count) - count)[row] + (at - begin[row]) // PASSAGE
+            key, c = np.unique(passage * features + f[at], return_counts=True)
+            passage, f = key // features, key % features
+            v = c * items.idf[f]
+            passage = np.unique(passage, return_inverse=True)[1]
+            v /= np.sqrt(np.bincount(passage, v * v))[passage] if len(v) else 1
+            held.append(pair_products(passage, f, v, features))
+            if sum(len(k) for k, _ in held) > PAIRS:
+                held = [added()]
+                if len(held[0][0]) > PAIRS // 2:
+                    yield pack(*held[0])
+                    held = []
+        if held:
+            yield pack(*added())
+
+    return run
+
+
+def randomised_svd(products: DataFrame, features: int, rank: int) -> np.ndarray:
+    """(features, rank) right singular vectors of a matrix A, from the entries (f, g, v) with f <= g of A'A, by subspace
+    iteration from a random start. Only A'A X, of rank + 10 columns, comes to the driver."""
+    spark = products.sparkSession
+    rank = max(1, min(rank, features))
     many = min(features, rank + 10)
-    table = spark.createDataFrame([(k % tasks, f.astype("<i4").tobytes(), v.astype("<f8").tobytes()) for k, (f, v) in enumerate(rows)], "part int, f binary, v binary").repartition(tasks, "part")
+    both = products.unionAll(products.where("f != g").select(F.col("g").alias("f"), F.col("f").alias("g"), "v"))
+    table = scratch.table(both.repartition("f").sortWithinPartitions("f"), "products")
 
     def product(x: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((features, x.shape[1]))
             for batch in batches:
-                for f, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    f, v = np.frombuffer(f, "<i4"), np.frombuffer(v, "<f8")
-                    np.add.at(out, f, v[:, None] * (v @ x[f]))
-            used = np.flatnonzero(np.abs(out).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([r.tobytes() for r in out[used]], pa.binary())], ["f", "v"])
+                if not batch.num_rows:
+                    continue
+                f, g, v = (batch.column(k).to_numpy() for k in range(3))
+                first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+                out = np.add.reduceat(v[:, None] * x[g], first, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(f[first]), pa.array([r.tobytes() for r in out], pa.binary())], ["f", "v"])
 
         out = np.zeros((features, x.shape[1]))
         got = table.mapInArrow(run, "f long, v binary").toArrow()
@@ -199,80 +302,106 @@ def randomised_svd(spark, rows: list[tuple[np.ndarray, np.ndarray]], features: i
             np.add.at(out, got["f"].to_numpy(), np.frombuffer(b"".join(got["v"].to_pylist()), "<f8").reshape(got.num_rows, -1))
         return out
 
-    q = np.linalg.qr(product(np.random.default_rng(3).standard_normal((features, many))))[0]
-    z = product(q)
-    q = np.linalg.qr(z)[0]
+    q = np.linalg.qr(np.random.default_rng(3).standard_normal((features, many)))[0]
+    for _ in range(ROUNDS):
+        q = np.linalg.qr(product(q))[0]
     small = q.T @ product(q)
+    scratch.drop(table)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
 def _search(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = items.lookup()
-        norms = np.sqrt((items.latent**2).sum(axis=1))
-        for batch in batches:
-            raw, offsets, _ = buffers(batch.column(1))
-            found: list[tuple[int, int, float]] = []
-            for i, j in slices(offsets):
-                h, row = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found += [(i + r, k, c) for r, k, c in _windows(items, table, norms, h, row, j - i)]
+        for keys, words, begin in _documents(batches, items.kind):
+            found = _windows(items, words, begin)
             rows = pa.array([r for r, _, _ in found], pa.int64())
             names = pa.array([items.ids[k] for _, k, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), names, pa.array([c for _, _, c in found], pa.float64())], ["rid", "item", "cover"])
+            yield pa.RecordBatch.from_arrays([keys.take(rows), names, pa.array([c for _, _, c in found], pa.float64())], ["rid", "item", "cover"])
 
     return run
 
 
-def _windows(items: Items, table, norms, h, row, rows: int):
-    """(row, item, cover) of the confirmed pairs of a chunk, one for each pair."""
-    at, f = items.hits(h, table)
+def windows(begin: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, end) of windows that hold any item of up to `scale` words whole."""
+    step, wide = scale // 2, scale * 3 // 2
+    count = np.maximum(1, -(-(np.diff(begin) - (wide - step)) // step))  # the last reaches the document's end
+    of = np.repeat(np.arange(len(count)), count)
+    lo = begin[of] + (np.arange(len(of)) - (np.cumsum(count) - count)[of]) * step
+    return of, lo, np.minimum(lo + wide, begin[of + 1])
+
+
+def _windows(items: Items, words: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, float]]:
+    """(row, item, cover) of the confirmed pairs of some documents, one for each pair."""
+    f = items.feature[words]
+    at = np.flatnonzero(f >= 0)
     if not len(at):
         return []
-    begin = np.searchsorted(row, np.arange(rows + 1))
-    size = np.diff(begin)
-    place = at - begin[row[at]]
+    f = f[at]
+    # sums over any run of words are differences of these
+    known = np.concatenate([[0], np.cumsum(words < items.none)])
+    mass = np.concatenate([[0], np.cumsum(items.bound[f])])
+    vectors = np.zeros((len(at) + 1, items.word_vectors.shape[1]))
+    np.cumsum(items.word_vectors[f], axis=0, out=vectors[1:])
+    place = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(words)))])
+    names = np.append(items.vocabulary, U(0))
     best: dict[tuple[int, int], float] = {}
-    for scale in np.unique(items.scale):
+    for scale in np.unique(items.scale).tolist():
         mine = np.flatnonzero(items.scale == scale)
-        step, wide = int(scale) // 2, int(scale) * 3 // 2
-        count = np.maximum(1, -(-(size - (wide - step)) // step))  # windows of each row; the last reaches its end
-        first = np.cumsum(count) - count
-        last = np.minimum(place // step, count[row[at]] - 1)
-        mass = np.zeros(int(count.sum()))
-        for back in range(3):
-            k = last - back
-            ok = (k >= 0) & (k * step + wide > place)
-            mass += np.bincount(first[row[at[ok]]] + k[ok], items.bound[f[ok]], len(mass))
-        some = np.flatnonzero(mass >= MASS * items.square[mine].min())
-        of = np.searchsorted(first, some, "right") - 1
-        lo = begin[of] + (some - first[of]) * step
-        hi = np.minimum(lo + wide, begin[of + 1])
-        a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
-        full = b > a
-        of, lo, hi, a, b = of[full], lo[full], hi[full], a[full], b[full]
-        many = max(1, min(4096, CELLS // len(mine)))
+        of, lo, hi = windows(begin, scale)
+        a, b = place[lo], place[hi]
+        some = np.flatnonzero((b > a) & (known[hi] - known[lo] >= items.need[mine].min()))
+        of, lo, hi, a, b = of[some], lo[some], hi[some], a[some], b[some]
+        heavy = mass[b] - mass[a] >= MASS * items.square[mine].min() * (1 - 1e-9)
+        many = max(1, CELLS // len(mine))
         for k in range(0, len(of), many):
             part = slice(k, k + many)
-            n = b[part] - a[part]
-            starts = np.cumsum(n) - n
-            index = np.repeat(a[part] - starts, n) + np.arange(int(n.sum()))
-            w = np.add.reduceat(items.word_vectors[f[index]], starts, axis=0)
-            dot = w @ items.latent[mine].T
-            if items.spanned:
-                near = dot >= MASS * norms[mine] ** 2
-            else:
-                near = (dot >= COSINE * np.sqrt((w * w).sum(axis=1))[:, None] * norms[mine]) & (dot >= MASS * norms[mine] ** 2)
-                near |= items.product(int(scale), len(n), np.repeat(np.arange(len(n)), n), f[index]) >= MASS * items.square[mine]
-            for x, y in zip(*np.nonzero(near), strict=True):
-                r, m = int(of[k + x]), int(mine[y])
+            w = (vectors[b[part]] - vectors[a[part]]).astype(np.float32)
+            size = np.sqrt(np.einsum("ij,ij->i", w, w))
+            near = w @ items.latent[mine].T >= COSINE * np.maximum(size, 1e-6)[:, None]
+            exact = np.flatnonzero(heavy[part])
+            if len(exact):
+                n = (b[part] - a[part])[exact]
+                index = _runs(a[part][exact], n)
+                near[exact] |= items.product(scale, len(n), np.repeat(np.arange(len(n)), n), f[index]) >= MASS * items.square[mine]
+            x, y = np.nonzero(near)
+            x += k
+            for x_, m in zip(*_enough(items, words, lo, hi, x, mine[y]), strict=True):
+                r = int(of[x_])
                 if best.get((r, m), 0.0) < 1.0:
-                    cover = items.confirm(m, h[lo[k + x] : hi[k + x]])
+                    cover = items.confirm(m, names[words[lo[x_] : hi[x_]]])
                     if cover:
                         best[r, m] = max(best.get((r, m), 0.0), cover)
     return [(r, m, c) for (r, m), c in best.items()]
 
 
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each run, one after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _enough(items: Items, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, m: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the pairs of a window and an item (in order of windows), those with as many of the item's words in the window
+    as its subsequence needs; the subsequence has no more words than that."""
+    out: tuple[list[int], list[int]] = ([], [])
+    some, of = np.unique(x, return_inverse=True)
+    many = max(1, 2 * CELLS // (items.none + 1))
+    for k in range(0, len(some), many):
+        part = some[k : k + many]
+        has = np.zeros((len(part), items.none + 1), bool)
+        n = hi[part] - lo[part]
+        has[np.repeat(np.arange(len(part)), n), words[_runs(lo[part], n)]] = True
+        pairs = np.arange(*np.searchsorted(of, [k, k + len(part)]))
+        for p in range(0, len(pairs), CELLS // 40):
+            pair = pairs[p : p + CELLS // 40]
+            n = items.size[m[pair]]
+            hits = has[np.repeat(of[pair] - k, n), items.number[_runs(items.start[m[pair]], n)]]
+            keep = np.add.reduceat(hits.astype(np.int64), np.cumsum(n) - n) >= items.need[m[pair]]
+            out[0].extend(x[pair[keep]].tolist())
+            out[1].extend(m[pair[keep]].tolist())
+    return out
+
+
 def matches(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, body: str) -> DataFrame:
     """(rid, item, cover): the pairs of a document key and a benchmark item found in its text."""
     spark = docs.sparkSession
@@ -286,17 +415,15 @@ def matches(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: st
         block = Items([r["item"] for r in rows], [r["body"] for r in rows])
         if not block.ids:
             continue
-        counts = slim.select("text").mapInArrow(tidy(_frequencies(block)), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
-        df = np.zeros(len(block.vocabulary))
-        documents = 0
-        for r in counts:
-            if r["f"] < 0:
-                documents = r["n"]
-            else:
-                df[r["f"]] = r["n"]
-        block.weigh(df, max(1, documents))
-        block.project(randomised_svd(spark, block.rows, len(block.features), RANK))
-        found = slim.mapInArrow(tidy(_search(block)), "rid long, item long, cover double")
+        coded = scratch.table(slim.mapInArrow(tidy(_coded(block)), CODED), "words")
+        df = np.zeros(block.none)
+        for r in coded.mapInArrow(tidy(_frequencies(block)), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
+            df[r["f"]] = r["n"]
+        block.weigh(df, max(1, coded.count()))
+        sums = coded.mapInArrow(tidy(_products(block)), "f long, g long, v double").groupBy("f", "g").agg(F.sum("v").alias("v"))
+        features = len(block.features)
+        block.project(randomised_svd(sums, features, min(RANK, features // 4)))
+        found = coded.mapInArrow(tidy(_search(block)), "rid long, item long, cover double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.range(0).select(F.col("id").alias("rid"), F.col("id").alias("item"), F.lit(0.0).alias("cover"))

@@ -71,13 +71,62 @@ def test_verbatim_items_are_found_in_blocks_of_more_items_than_dimensions(spark)
     assert {k for k, _ in items} - {r.rid for r in pairs.collect() if r.rid == r.item} == set()
 
 
+def test_every_pair_that_a_subsequence_confirms_is_found(spark):
+    """The whole operator against no candidate search at all: each window of each document and each item."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = decontaminate.Items(*zip(*((r.item_id, r.text.lower()) for r in bench.collect()), strict=True))
+    want = set()
+    for r in docs.collect():
+        w = decontaminate.Items._words((r.text or "").lower())
+        has = set(w.tolist())
+        for m, mine in enumerate(items.words):
+            if sum(x in has for x in mine.tolist()) < items.need[m]:
+                continue
+            _, lo, hi = decontaminate.windows(np.array([0, len(w)]), int(items.scale[m]))
+            if any(items.confirm(m, w[a:b]) for a, b in zip(lo, hi, strict=True)):
+                want.add((r.doc_id, items.ids[m]))
+    got = {(r.rid, r["item"]) for r in decontaminate.matches(docs, "doc_id", "text", bench, "item_id", "text").collect()}
+    assert got == want and len(want) >= 5
+
+
+def test_latent_space_finds_what_shared_words_do_not(spark):
+    """The heavy words of an item are replaced by words that the corpus uses in the same company. The words that stay
+    are too frequent to weigh, so the TF-IDF product is far below its bound."""
+    rng = random.Random(5)
+    plain = [f"plain{k}" for k in range(14)]
+    heavy, twin = [f"heavy{k}" for k in range(6)], [f"twin{k}" for k in range(6)]
+    item = " ".join(plain[:7] + heavy[:3] + plain[7:] + heavy[3:])
+    other = " ".join(twin + [f"else{k}" for k in range(12)])
+    company = [f"near{k}" for k in range(8)]
+    docs = []
+    for k in range(400):
+        pool = (heavy if k % 2 else twin) if k % 4 < 2 else plain
+        docs.append(" ".join(rng.sample(pool, 4 if pool is not plain else 9) + (rng.sample(company, 6) if pool is not plain else []) + [filler(rng, 6)]))
+    paraphrase = item.replace("heavy", "twin")
+    items = [(1, item), (2, other), (3, " ".join(company + [f"more{k}" for k in range(12)]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([*enumerate(docs), (1000, paraphrase)], "doc_id long, text string")
+    pairs = lambda: {(r.rid, r["item"]) for r in decontaminate.matches(df, "doc_id", "text", bench, "item_id", "text").collect()}
+    assert (1000, 1) in pairs()
+    # without the latent candidates the pair is lost
+    block = decontaminate.Items([i for i, _ in items], [t for _, t in items])
+    texts = [decontaminate.Items._words(t) for t in [*docs, paraphrase]]
+    block.weigh(np.array([sum(v in set(t.tolist()) for t in texts) for v in block.vocabulary.tolist()], float), len(texts))
+    f = block.feature[np.searchsorted(block.vocabulary, texts[-1])]
+    f = f[f >= 0]
+    assert block.product(32, 1, np.zeros(len(f), int), f)[0, 0] < decontaminate.MASS * block.square[0]
+
+
 def test_svd(spark):
     rng = np.random.default_rng(1)
     dense = (rng.random((12, 30)) < 0.2) * rng.random((12, 30))
-    rows = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in dense]
-    basis = decontaminate.randomised_svd(spark, rows, 30, 12)
+    row, f = np.nonzero(dense)
+    key, v = decontaminate.pair_products(row, f, dense[row, f], 30)
+    products = spark.createDataFrame([(int(k // 30), int(k % 30), float(x)) for k, x in zip(key, v, strict=True)], "f long, g long, v double")
+    basis = decontaminate.randomised_svd(products, 30, 12)
     assert np.allclose(dense @ basis @ basis.T, dense, atol=1e-8)
-    three = decontaminate.randomised_svd(spark, rows, 30, 3)
+    three = decontaminate.randomised_svd(products, 30, 3)
     exact = np.linalg.svd(dense)[2][:3].T
     assert np.linalg.norm(dense @ three) > 0.99 * np.linalg.norm(dense @ exact)
 
