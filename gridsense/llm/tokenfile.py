@@ -12,6 +12,8 @@ byte. Files are Parquet containers whose rows are blocks of about `block_ids` id
     control binary, data binary
 
 Decoding looks a control byte up in a table of 256 x 4 lengths and gathers the bytes with numpy.
+
+Texts are tokenized once: their plain ids are written, counted for the ranks, and read again to be coded.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .arrowtext import tidy
-from .tokens import _spread, default_path, encoded
+from .arrowtext import buffers, slices, tidy
+from .tokens import _spread, default_path, encoded, encoder
 
 END = 2
 LENGTHS = np.stack([((np.arange(256) >> (2 * k)) & 3) + 1 for k in range(4)], axis=1)
@@ -67,15 +69,41 @@ def decode(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
     return value & MASKS[size]
 
 
-def _counts(path: str):
+def _tokenize(path: str):
+    """Plain ids of texts, in 16 bits where the vocabulary fits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _width(path)
+        size = np.dtype(kind).itemsize
+        for batch in batches:
+            for i, j, ids, out in encoded(batch.column(2), path):
+                ids, out = with_end(ids, out)
+                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(out.astype(np.int64) * size), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), cells.cast(pa.binary())], ["bucket", "key", "ids"])
+
+    return run
+
+
+def _width(path: str) -> str:
+    lib = encoder(path).lib
+    top = max(END, *lib.get_vocab().values()) if lib.get_vocab_size() else END
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
+def _rows(column: pa.Array, kind: str, step: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, ids, offsets) of slices of a column of plain ids."""
+    raw, offsets, _ = buffers(column)
+    size = np.dtype(kind).itemsize
+    for i, j in slices(offsets, step * size):
+        yield i, j, raw[offsets[i] : offsets[j]].view(kind), (offsets[i : j + 1] - offsets[i]) // size
+
+
+def _counts(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1, np.int64)
+        seen = np.zeros(END + 1, np.int64)
         for batch in batches:
-            for i, j, ids, _ in encoded(batch.column(0), path, 2_000_000):
-                more = np.bincount(ids, minlength=END + 1)
-                more[END] += j - i
-                if len(more) < len(seen):
-                    more = np.concatenate([more, np.zeros(len(seen) - len(more), np.int64)])
+            for _, _, ids, _ in _rows(batch.column(0), kind):
+                more = np.bincount(ids, minlength=len(seen))
                 more[: len(seen)] += seen
                 seen = more
         at = np.flatnonzero(seen)
@@ -84,19 +112,18 @@ def _counts(path: str):
     return run
 
 
-def frequency_order(docs: DataFrame, text: str, path: str) -> np.ndarray:
+def frequency_order(plain: DataFrame, kind: str) -> np.ndarray:
     """Ids by falling corpus frequency, over all documents. Its size is the vocabulary's, whatever the corpus."""
-    rows = docs.select(text).mapInArrow(tidy(_counts(path)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
+    rows = plain.select("ids").mapInArrow(tidy(_counts(kind)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
     return np.array([r["id"] for r in rows], np.uint32)
 
 
-def _encode(path: str, order: np.ndarray):
+def _encode(kind: str, order: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         for batch in batches:
-            for i, j, ids, out in encoded(batch.column(2), path, 2_000_000):
-                ids, out = with_end(ids, out)
+            for i, j, ids, out in _rows(batch.column(2), kind):
                 control, c_off, data, d_off = code(rank[ids], out)
                 control, data = control.tobytes(), data.tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -153,15 +180,20 @@ def write(docs: DataFrame, key: str, text: str, path: str | None = None, block_i
     spark = docs.sparkSession
     scratch.small_batches(spark, 3000)
     path = path or default_path()
-    order = frequency_order(docs, text, path)
     buckets = 4 * scratch.partitions(spark)
     cuts = docs.select(F.percentile_approx(F.col(key), [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
     # bounds are part of the plan, so that sorting the key ranges needs no sampling run over the texts
     bounds = sorted(set(cuts))
     bucket = F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col(key)))) if bounds else F.lit(0)
-    coded = docs.select(bucket.cast("int").alias("bucket"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidy(_encode(path, order)), "bucket int, key long, n long, control binary, data binary")
+    named = docs.select(bucket.cast("int").alias("bucket"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    plain = scratch.table(named.mapInArrow(tidy(_tokenize(path)), "bucket int, key long, ids binary"), "ids")
+    kind = _width(path)
+    order = frequency_order(plain, kind)
+    coded = plain.mapInArrow(tidy(_encode(kind, order)), "bucket int, key long, n long, control binary, data binary")
     blocks = coded.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(tidy(_blocks(block_ids)), BLOCK)
-    return scratch.table(blocks, "tokens"), order
+    written = scratch.table(blocks, "tokens")
+    scratch.drop(plain)
+    return written, order
 
 
 def read(blocks: DataFrame, order: np.ndarray) -> DataFrame:

@@ -70,7 +70,7 @@ def test_no_files_of_an_empty_table(spark):
 
 def test_frequent_ids_are_short(spark):
     docs = spark.createDataFrame([(k, "the the the the rare%d" % k) for k in range(20)], "doc_id long, text string")
-    order = tokenfile.frequency_order(docs, "text", PATH)
+    _, order = tokenfile.write(docs, "doc_id", "text", PATH)
     assert library([" the"])[0][0] == order[0]
 
 
