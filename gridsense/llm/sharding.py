@@ -8,6 +8,12 @@ The walk needs only the rows of each arc, not the keys: arc counts are summed by
 number that does not grow with the data), the overflow is carried clockwise on the driver, and what each arc
 gives to which shard comes back as a table of rank ranges. A key's rank in its arc, by (hash, key, tie columns),
 then says its shard and its slot. The order within an arc is the order in which its keys are served.
+
+Ranks are counted in pieces of an arc: by stretches of hashes, and within a stretch by the part of the input that a row
+came from, so that no task sorts all rows of one key. What stands before each piece is a sum over the pieces' counts.
+
+Of the three laws a sharding may hold, this one holds `rows`: each row is placed by itself, and rows of a group, such
+as equal texts, go where their keys put them. A group of over a shard's share could not stay together under it.
 """
 
 from __future__ import annotations
@@ -19,7 +25,11 @@ import zlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 RING = 1 << 32
+STRETCH = 17  # bits of a stretch of hashes that is ranked by itself
+PARTS = 64  # into which the rows of a stretch are told apart by where they were read
 
 
 def points(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -78,7 +88,8 @@ def shard(df: DataFrame, key: str, shards: int, vnodes: int = 64, ties: list[str
 
     Counts differ by one at most. Rows with equal or null keys start at one point (null hashes as the seed does)
     and are told apart by `ties` (columns that Spark can order), then arbitrarily; repeated rows are rows of their
-    own. Empty input gives empty output. `_shard`, `_slot` replace columns of those names.
+    own. Empty input gives empty output. `_shard`, `_slot` replace columns of those names. The order of rows in a
+    stretch of hashes follows the parts of the input first, so it is that of one table, not of its rows alone.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -96,7 +107,12 @@ def shard(df: DataFrame, key: str, shards: int, vnodes: int = 64, ties: list[str
     found = hashed.join(F.broadcast(jump), F.shiftrightunsigned("_h", 20).cast("int") == F.col("b"))
     arc = (F.col("first") + F.size(F.filter("p", lambda p: p < F.col("_h")))) % len(ring)
     found = found.withColumn("_arc", arc.cast("int")).drop("b", "p", "first")
-    counted = {r["_arc"]: r["n"] for r in found.groupBy("_arc").agg(F.count("*").alias("n")).collect()}
+    # written, so that a row's part is the same for all that follows, and rows are hashed once
+    found = found.withColumn("_stretch", F.shiftrightunsigned("_h", STRETCH).cast("int")).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    found = scratch.table(found, "arcs")
+    piece = ["_arc", "_stretch", "_part"]
+    pieces = found.groupBy(*piece).agg(F.count("*").alias("_n"))
+    counted = {r["_arc"]: r["n"] for r in pieces.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
     counts = [counted.get(a, 0) for a in range(len(ring))]
     total = sum(counts)
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
@@ -110,7 +126,10 @@ def shard(df: DataFrame, key: str, shards: int, vnodes: int = 64, ties: list[str
             filled[s] += n
     given = _ranges(spark, plan, "a int, lo bigint, hi bigint, s int, base bigint").groupBy("a").agg(F.collect_list(F.struct("lo", "hi", "s", "base")).alias("_plan"))
     order = [F.col("_h"), F.col("_key"), *(F.col(f"_tie{i}") for i in range(len(ties or [])))]
-    ranked = found.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc").orderBy(*order)).cast("long") - 1)
+    # the first arc holds the hashes at both ends of the ring; any order of its stretches will do
+    before = pieces.withColumn("_before", F.sum("_n").over(Window.partitionBy("_arc").orderBy("_stretch", "_part")) - F.col("_n")).drop("_n")
+    ranked = found.withColumn("_in", F.row_number().over(Window.partitionBy(*piece).orderBy(*order)).cast("long") - 1)
+    ranked = ranked.join(before.hint("merge"), piece).withColumn("_rank", F.col("_before") + F.col("_in"))
     # `given` has a row per arc: shards x vnodes rows at most, whatever the input
     placed = ranked.join(F.broadcast(given), F.col("_arc") == F.col("a"))
     mine = F.filter("_plan", lambda x: (x["lo"] <= F.col("_rank")) & (F.col("_rank") < x["hi"]))[0]
