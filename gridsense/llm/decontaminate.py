@@ -122,7 +122,9 @@ class Items:
         self.feature = np.append(np.where(use, np.cumsum(use) - 1, -1), -1)  # by number of the word
         rows = []
         for start, size in zip(self.start, self.size, strict=True):
-            f = self.feature[self.number[start : start + size]]
+            mine = self.number[start : start + size]
+            mine[:] = mine[np.argsort(-idf[mine], kind="stable")]  # rarest words first
+            f = self.feature[mine]
             rows.append(np.unique(f[f >= 0], return_counts=True))
         self.rows = [(f, c * self.idf[f]) for f, c in rows]
         most = np.ones(len(self.features))
@@ -283,7 +285,8 @@ def randomised_svd(products: DataFrame, features: int, rank: int) -> np.ndarray:
     spark = products.sparkSession
     rank = max(1, min(rank, features))
     many = min(features, rank + 10)
-    both = products.unionAll(products.where("f != g").select(F.col("g").alias("f"), F.col("f").alias("g"), "v"))
+    both = F.when(F.col("f") == F.col("g"), F.array(F.struct("f", "g"))).otherwise(F.array(F.struct("f", "g"), F.struct(F.col("g").alias("f"), F.col("f").alias("g"))))
+    both = products.select(F.explode(both).alias("x"), "v").select("x.*", "v")
     table = scratch.table(both.repartition("f").sortWithinPartitions("f"), "products")
 
     def product(x: np.ndarray) -> np.ndarray:
@@ -394,11 +397,16 @@ def _enough(items: Items, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, x:
         pairs = np.arange(*np.searchsorted(of, [k, k + len(part)]))
         for p in range(0, len(pairs), CELLS // 40):
             pair = pairs[p : p + CELLS // 40]
-            n = items.size[m[pair]]
-            hits = has[np.repeat(of[pair] - k, n), items.number[_runs(items.start[m[pair]], n)]]
-            keep = np.add.reduceat(hits.astype(np.int64), np.cumsum(n) - n) >= items.need[m[pair]]
-            out[0].extend(x[pair[keep]].tolist())
-            out[1].extend(m[pair[keep]].tolist())
+            # first an item's rarest words, a few more than may be missing; then all, for pairs that this leaves
+            few = np.minimum(items.size, items.size - items.need + 3)
+            for size in (few, items.size):
+                item = m[pair]
+                n = size[item]
+                hits = has[np.repeat(of[pair] - k, n), items.number[_runs(items.start[item], n)]]
+                missing = n - np.add.reduceat(hits.astype(np.int64), np.cumsum(n) - n) if len(n) else n
+                pair = pair[missing <= (items.size - items.need)[item]]
+            out[0].extend(x[pair].tolist())
+            out[1].extend(m[pair].tolist())
     return out
 
 
