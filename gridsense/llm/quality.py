@@ -1,11 +1,14 @@
 """Quality classifier: document evidence and site posteriors under a hierarchical empirical Bayes model.
 
 A document's evidence is the log-odds of a logistic model (one for `quality`, one for `toxic`) over statistics of the
-whole text and the presence of telling words, fitted on a bounded sample of labelled rows. Sites are two levels, host
-and path; their rates are sums of the evidence over all documents, grouped by site. A host's rate is shrunk toward the
-global one and a path's toward its host's, by pseudo-counts estimated from the spread between sites (method of
-moments), so a site with few documents keeps its parent's rate. A document's posterior log-odds is its own evidence
-plus what its site's rate differs from the global one.
+whole text and the presence of telling words, fitted on a bounded sample of labelled rows. Sites are two levels, paths
+within hosts; their means are sums of the evidence over all documents, grouped by site. Three variances are estimated
+by moments: between documents of a path, between paths of a host, and between hosts. A host's mean is the average of
+its paths, each weighted by what its variance allows, shrunk toward the global mean; a path's is shrunk toward its
+host's. So a site with few documents keeps its parent's rate, and a host of one path counts its documents once.
+
+A document's posterior log-odds is its own evidence plus what its site's rate, taken without this document, differs
+from the global one.
 """
 
 from __future__ import annotations
@@ -222,31 +225,78 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _sites(scored: DataFrame) -> DataFrame:
-    """(_host, _path, and for each target the shift of log-odds that the site gives). One row a site."""
-    p = {t: 1 / (1 + F.exp(-F.col(f"_e_{t}"))) for t in TARGETS}
-    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), *(F.sum(p[t]).alias(f"s_{t}") for t in TARGETS))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), *(F.sum(f"s_{t}").alias(f"h_{t}") for t in TARGETS))
-    whole = hosts.agg(F.sum("hn").alias("gn"), *(F.sum(f"h_{t}").alias(f"g_{t}") for t in TARGETS))
-    out = paths.join(hosts, "_host")
-    # one row of totals, and one of spreads: cross joins with a single row
-    out = out.crossJoin(F.broadcast(whole))
-    spread = hosts.crossJoin(F.broadcast(whole)).agg(
-        *(F.sum(F.col("hn") * F.pow(F.col(f"h_{t}") / F.col("hn") - F.col(f"g_{t}") / F.col("gn"), 2)).alias(f"v_{t}") for t in TARGETS), F.count("*").alias("gh"),
-    )
-    out = out.crossJoin(F.broadcast(spread))
+class Spread:
+    """Variances of one target's evidence: `inner` between documents of a path, `path` between paths of a host, `host`
+    between hosts; `mean` of all. By moments, from sums over sites."""
+
+    def __init__(self, n: float, paths: int, hosts: int, sum_: float, squares: float, by_path: float, by_host: float, path_share: float, path_squares: float, host_squares: float):
+        """`squares`: of all documents; `by_path`, `by_host`: squared sums of sites over their sizes; `path_share`:
+        squared sizes of paths over those of their hosts; `path_squares`, `host_squares`: squared sizes of sites."""
+        self.mean = min(1 - 1e-4, max(1e-4, sum_ / n))
+        inner = (squares - by_path) / (n - paths) if n > paths else self.mean * (1 - self.mean)
+        self.inner = max(1e-6, inner)
+        room = n - path_share
+        self.path = max(0.0, (by_path - by_host - (paths - hosts) * self.inner) / room) if room > 1e-9 * n else 0.0
+        room = n - host_squares / n
+        noise = (hosts - 1) * self.inner + self.path * (path_share - path_squares / n)
+        self.host = max(0.0, (by_host - sum_ * sum_ / n - noise) / room) if room > 1e-9 * n else 0.0
+
+    def weight(self, n: Column) -> Column:
+        """Of a path with n documents in its host's mean."""
+        return F.when(n > 0, 1 / (self.path + self.inner / n)).otherwise(0.0)
+
+    def rate(self, n: Column, s: Column, a: Column, w: Column) -> Column:
+        """The posterior mean of a path of n documents with sum s, in a host whose paths' weighted means add up to a
+        and whose weights to w."""
+        host = F.when(w > 0, self.mean + (a / w - self.mean) * (self.host / (self.host + 1 / w))).otherwise(self.mean)
+        return F.when(n > 0, host + (s / n - host) * (self.path / (self.path + self.inner / n))).otherwise(host)
+
+
+def _sites(scored: DataFrame) -> tuple[DataFrame, dict[str, Spread]]:
+    """(_host, _path, _n and for each target its sum, and its host's weighted means and weights), one row a site; the
+    spreads of the targets. A site's own row is all that a document needs of it."""
+    p = {t: _probability(t) for t in TARGETS}
+    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("_n"), *(F.sum(p[t]).alias(f"_s_{t}") for t in TARGETS), *(F.sum(p[t] * p[t]).alias(f"_q_{t}") for t in TARGETS))
+    paths = scratch.table(paths, "paths")
+    hosts = paths.groupBy("_host").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_n")).alias("n2"), *(F.sum(f"_s_{t}").alias(f"s_{t}") for t in TARGETS))
+    of_paths = paths.agg(F.sum("_n").alias("n"), F.count("*").alias("paths"), F.sum(F.col("_n") * F.col("_n").cast("double")).alias("path_squares"), *(F.sum(f"_s_{t}").alias(f"sum_{t}") for t in TARGETS), *(F.sum(f"_q_{t}").alias(f"squares_{t}") for t in TARGETS), *(F.sum(F.pow(f"_s_{t}", F.lit(2.0)) / F.col("_n")).alias(f"by_path_{t}") for t in TARGETS)).first()
+    of_hosts = hosts.agg(F.count("*").alias("hosts"), F.sum(F.col("n2") / F.col("n")).alias("path_share"), F.sum(F.col("n") * F.col("n").cast("double")).alias("host_squares"), *(F.sum(F.pow(f"s_{t}", F.lit(2.0)) / F.col("n")).alias(f"by_host_{t}") for t in TARGETS)).first()
+    spreads = {}
     for t in TARGETS:
-        g = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(f"g_{t}") / F.col("gn")))
-        noise = g * (1 - g)
-        # between-host variance: weighted spread less what sampling alone gives, per document
-        between = F.greatest(F.lit(1e-6), (F.col(f"v_{t}") - (F.col("gh") - 1) * noise) / F.col("gn"))
-        kappa = F.least(F.lit(1e4), F.greatest(F.lit(2.0), noise / between - 1))
-        host = (F.col(f"h_{t}") + kappa * g) / (F.col("hn") + kappa)
-        path = (F.col(f"s_{t}") + kappa * host) / (F.col("n") + kappa)
-        inside = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), path))
-        # a site moves a document by at most two units, so it cannot overrule clear evidence
-        out = out.withColumn(f"_shift_{t}", F.greatest(F.lit(-2.0), F.least(F.lit(2.0), _logit(inside) - _logit(g))))
-    return out.select("_host", "_path", *(f"_shift_{t}" for t in TARGETS))
+        if of_paths["n"]:
+            spreads[t] = Spread(of_paths["n"], of_paths["paths"], of_hosts["hosts"], of_paths[f"sum_{t}"], of_paths[f"squares_{t}"], of_paths[f"by_path_{t}"], of_hosts[f"by_host_{t}"], of_hosts["path_share"], of_paths["path_squares"], of_hosts["host_squares"])
+        else:
+            spreads[t] = Spread(1, 1, 1, 0.5, 0.25, 0.25, 0.25, 1, 1, 1)
+    weigh = {t: spreads[t].weight(F.col("_n")) for t in TARGETS}
+    sums = [F.sum(F.col(f"_s_{t}") / F.col("_n") * weigh[t]).alias(f"_a_{t}") for t in TARGETS] + [F.sum(weigh[t]).alias(f"_w_{t}") for t in TARGETS]
+    whole = paths.groupBy("_host").agg(*sums)
+    return paths.select("_host", "_path", "_n", *(f"_s_{t}" for t in TARGETS)).join(whole, "_host"), spreads
+
+
+def _probability(t: str) -> Column:
+    return 1 / (1 + F.exp(-F.col(f"_e_{t}")))
+
+
+def _shift(t: str, spread: Spread) -> Column:
+    """What the site of a row adds to its log-odds: the site's posterior rate without the row, against the mean."""
+    n, s, p = F.col("_n"), F.col(f"_s_{t}"), _probability(t)
+    rest, rest_s = n - 1, F.greatest(F.lit(0.0), s - p)
+    a = F.col(f"_a_{t}") - s / n * spread.weight(n) + F.when(rest > 0, rest_s / rest * spread.weight(rest)).otherwise(0.0)
+    w = F.col(f"_w_{t}") - spread.weight(n) + spread.weight(rest)
+    # a host of this row alone: what is left of its weights is rounding
+    alone = w < spread.weight(F.lit(1.0)) / 2
+    rate = spread.rate(rest, rest_s, F.when(alone, 0.0).otherwise(a), F.when(alone, 0.0).otherwise(w))
+    inside = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), rate))
+    # a site moves a document by at most two units, so it cannot overrule clear evidence
+    return F.greatest(F.lit(-2.0), F.least(F.lit(2.0), _logit(inside) - _logit(F.lit(spread.mean))))
+
+
+def shifted(scored: DataFrame) -> DataFrame:
+    """`scored` with _shift_quality and _shift_toxic."""
+    sites, spreads = _sites(scored)
+    # a site has one row; written first, so that the planner can split the rows of a host with a third of all documents
+    joined = scored.join(scratch.table(sites, "sites"), ["_host", "_path"])
+    return joined.select(*scored.columns, *(_shift(t, spreads[t]).alias(f"_shift_{t}") for t in TARGETS))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str, text: str, site: str, sample: int = SAMPLE) -> DataFrame:
@@ -262,8 +312,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str, text: str, site: str,
     bare = F.regexp_replace(F.coalesce(F.col(site).cast("string"), F.lit("")), "^[a-z]+://", "")
     named = docs.select(F.col(key), F.substring_index(bare, "/", 1).alias("_host"), F.substring_index(F.substring_index(bare, "/", 2), "?", 1).alias("_path"), F.col(text))
     scored = scratch.table(evidence(named, text, models), "evidence")
-    # a site has one row; written first, so that the planner can split the rows of a host with a third of all documents
-    joined = scored.join(scratch.table(_sites(scored), "sites"), ["_host", "_path"])
+    joined = shifted(scored)
     p = {t: 1 / (1 + F.exp(-(F.col(f"_e_{t}") + F.col(f"_shift_{t}")))) for t in TARGETS}
     if "quality" not in models:
         p["quality"] = F.lit(0.5)
