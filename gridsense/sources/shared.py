@@ -12,9 +12,12 @@ _made: list[tuple[object, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder: `spark.checkpoint.dir` of the session; a temporary one only where that is unset."""
+    """The shared folder: `spark.checkpoint.dir` of the session. Where that is unset, a temporary one, but only if all
+    runs on this machine; on a cluster others could not read it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gridsense-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -54,6 +57,18 @@ def drop(df: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
+def tables() -> set[str]:
+    """The tables that `table` has made and nobody dropped."""
+    return {path for _, path in _made}
+
+
+def sweep(spark: SparkSession, before: set[str], keep: DataFrame) -> None:
+    """Delete the tables made since `before`, once nothing lazy reads them any more; `keep` stays."""
+    for path in tables() - before - {getattr(keep, "_scratch_path", None)}:
+        _delete(spark, path)
+    _made[:] = [x for x in _made if x[1] in before or x[1] == getattr(keep, "_scratch_path", None)]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lower the session's Arrow batch to `rows`, so that batches of long texts stay small in executors and workers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
