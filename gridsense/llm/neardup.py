@@ -7,7 +7,7 @@
    of a (sub)region are candidates of each other, and so are the nearest rows in sorted order, whose common prefix is
    longest. Candidates whose sketches agree make loose groups; a task returns a spanning forest of them.
 4. Texts of loose groups are read again and the exact links of each group are found on full sets: a search from row to
-   row that compares each row only with those not reached yet. A loose group that is too large for a task is cut
+   row that compares each row only with those not reached yet. A loose group of more than a chunk is cut
    into chunks: each chunk meets a pivot chunk; rows that this leaves outside the group's main component (few, if the
    group is one cluster) then meet every chunk, in blocks. So every pair that could join two components is compared.
 """
@@ -34,7 +34,7 @@ CROWDED = 48  # rows of a (sub)region that are all compared
 NEAR = 6  # neighbours in sorted order that are compared anyway
 HELD = 8192  # rows of a region that a task holds
 STEP = 500_000
-GROUP_BYTES = 48 << 20  # of shingles of a loose group that one task resolves
+CHUNK_ROWS = 256  # of a loose group that are resolved together, and bytes of their shingles
 CHUNK_BYTES = 12 << 20
 
 _rng = np.random.default_rng(11)
@@ -380,8 +380,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, ratio:
     near = forest_rows.repartitionByRange(parts, "region", "path", "id").sortWithinPartitions("region", "path", "id").mapInArrow(tidy(_neighbours(share)), "a long, b long")
     loose = components(scratch.table(near, "loose"), "a", "b").withColumnRenamed("component", "label")
     loose = loose.join(rows.where("h1 is not null").select("id", "n", "h1", "h2").join(reps, ["h1", "h2"]).where("id = rep").select("id", "n", "h1", "h2").distinct(), "id")
-    weight = loose.groupBy("label").agg((F.sum("n") * 8).alias("bytes"))
-    dealt = loose.join(weight, "label").select("id", "label", "h1", "h2", F.when(F.col("bytes") <= GROUP_BYTES, -1).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("bytes") / CHUNK_BYTES))).cast("int").alias("chunk"))
+    weight = loose.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") * 8 / CHUNK_BYTES), F.ceil(F.count("*") / CHUNK_ROWS)).alias("chunks"))
+    dealt = loose.join(weight, "label").select("id", "label", "h1", "h2", F.when(F.col("chunks") <= 1, -1).otherwise(F.pmod(F.xxhash64("id"), F.col("chunks"))).cast("int").alias("chunk"))
     dealt = scratch.table(dealt, "dealt")
     # `dealt` grows with the corpus, so it is never broadcast
     texts = slim.join(dealt.hint("merge"), "id").select("label", "chunk", "id", "h1", "h2", "text")

@@ -57,7 +57,6 @@ def test_brute_force(spark, width, num, den):
 
 
 def test_large_groups_are_cut_and_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "GROUP_BYTES", 4_000)
     monkeypatch.setattr(neardup, "CHUNK_BYTES", 3_000)
     rng = random.Random(5)
     words = [f"w{k}" for k in range(60)]
