@@ -10,9 +10,17 @@ from gridsense.llm import decontaminate, neardup, packing, quality, scratch, sub
 KEY, TEXT = "doc_id", "text"
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """`name`, lengthened until `docs` has no such column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows whose key is not in `gone`; rows with a null key stay."""
-    return docs.join(gone.select(F.col(KEY).alias("_gone")).distinct(), docs[KEY] == F.col("_gone"), "left_anti")
+    name = _free(docs, "_gone")
+    return docs.join(gone.select(F.col(KEY).alias(name)).distinct(), F.col(KEY) == F.col(name), "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,22 +30,27 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest key; of rows that share a key, one."""
+    """One document of each group stays, the one with the smallest key. Of rows that share a key, each different text
+    stays once, with the least of its other columns."""
     found = scratch.table(neardup.near_duplicates(docs, KEY, TEXT), "groups")
     out = _without(docs, found.where("not kept"))
     twice = found.where(f"{KEY} is not null").groupBy(KEY).count().where("count > 1").select(KEY)
     if twice.limit(1).count():
-        again = out.join(twice, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+        others = [c for c in docs.columns if c not in (KEY, TEXT)]
+        again = out.join(twice, KEY, "left_semi").groupBy(KEY, TEXT).agg(F.min(F.struct(*others, F.lit(0))).alias(least := _free(docs, "_least")))
+        again = again.select(*[F.col(c) if c in (KEY, TEXT) else F.col(least)[c].alias(c) for c in docs.columns])
         out = out.join(twice, KEY, "left_anti").select(*docs.columns).unionByName(again)
     return out
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that start anywhere else go, whole characters at a time; every document stays."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rest = substrings.repeated_strings(numbered, "_row", TEXT, 200, texts=True).select(F.col("_row").alias("_of"), F.col("kept").alias("_kept"))
-    joined = numbered.drop(TEXT, "n_chars").join(rest, F.col("_row") == F.col("_of"))
-    new = {TEXT: F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    row, of, kept = _free(docs, "_row"), _free(docs, "_of"), _free(docs, "_kept")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    rest = substrings.repeated_strings(numbered, row, TEXT, 200, texts=True)
+    rest = rest.select(F.col(row).alias(of), F.col("kept").alias(kept))
+    joined = numbered.drop(TEXT, "n_chars").join(rest, F.col(row) == F.col(of))
+    new = {TEXT: F.col(kept), "n_chars": F.length(kept).cast("long")}
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
@@ -65,8 +78,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again."""
+    """All stages, each written as Parquet and read again; what a stage wrote on its way goes when its result is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = scratch.tables()
+        out = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.sweep(spark, before, out)
+        scratch.drop(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
