@@ -1,16 +1,26 @@
 """String similarity: common-subsequence ratios of strings, of sorted tokens and of token sets.
 
-ratio(a, b) = 2 * LCS(a, b) / (len(a) + len(b)); 1 for two empty strings. The LCS is bit-parallel in Arrow batches,
-over distinct pairs if the caller makes them distinct; everything around it is Column expressions.
+ratio(a, b) = 2 * LCS(a, b) / (len(a) + len(b)); 1 for two empty strings. The LCS of a batch of pairs is taken by
+numpy, bit-parallel over the characters of one string of each pair and at once for all pairs; only pairs of two strings
+of over 64 characters go through Python one by one. Everything around it is Column expressions.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Collection, Sequence
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+BITS = 64
+MASKS = 1 << 22  # masks of characters that are held at once
+PAIRS = 1 << 18  # pairs, or windows of pairs, that are compared at once
+U = np.uint64
+
 
 def lcs_length(a: str, b: str) -> int:
     masks: dict[str, int] = {}
@@ -26,31 +36,116 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def _ratio(a: str | None, b: str | None) -> float:
-    a, b = a or "", b or ""
-    if a == b:
-        return 1.0
-    n = len(a) + len(b)
-    return 2 * lcs_length(a, b) / n
+def _points(strings: Collection[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, 0 where a string has ended; lengths). A NUL character counts as U+110000, which no string has."""
+    size = np.array([len(s) for s in strings], np.int64)
+    wide = max(1, int(size.max(initial=0)))
+    points = np.zeros((len(strings), wide), np.uint32)
+    flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(strings)), size)
+    points[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.where(flat == 0, 0x110000, flat)
+    return points, size
+
+
+class _Pairs:
+    """Pairs of strings of which the first has at most 64 characters; their characters as bit masks."""
+
+    def __init__(self, a: list[str], b: list[str]):
+        left: dict[str, int] = {}
+        right: dict[str, int] = {}
+        self.ia = np.array([left.setdefault(s, len(left)) for s in a], np.int64)
+        self.ib = np.array([right.setdefault(s, len(right)) for s in b], np.int64)
+        x, self.na = _points(left)
+        y, self.nb = _points(right)
+        letters = np.unique(x)
+        letters = letters[letters > 0]
+        many = len(letters) + 1
+        self.table = np.zeros((len(left), many), U)
+        rows = np.arange(len(left))
+        for k in range(x.shape[1]):
+            on = x[:, k] > 0
+            self.table[rows[on], np.searchsorted(letters, x[on, k])] |= U(1) << U(k)
+        at = np.minimum(np.searchsorted(letters, y), max(0, len(letters) - 1))
+        known = (letters[at] == y) if len(letters) else np.zeros(y.shape, bool)
+        self.y = np.where(known, at, many - 1)  # the last mask is empty
+
+    def lcs(self, pairs: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """Of some pairs; with `start`, of the first string and the window of its length that starts there."""
+        ia, ib = self.ia[pairs], self.ib[pairs]
+        v = np.full(len(pairs), ~U(0))
+        wide = self.y.shape[1] if start is None else int(self.na[ia].max(initial=0))
+        for k in range(wide):
+            if start is None:
+                letter = self.y[ib, k]
+            else:
+                at = start + k
+                inside = (at >= 0) & (at < self.nb[ib]) & (k < self.na[ia])
+                letter = np.where(inside, self.y[ib, np.clip(at, 0, self.y.shape[1] - 1)], self.table.shape[1] - 1)
+            u = v & self.table[ia, letter]
+            v = (v + u) | (v - u)
+        n = self.na[ia].astype(U)
+        full = np.where(n == U(BITS), ~U(0), (U(1) << np.minimum(n, U(BITS - 1))) - U(1))
+        return np.bitwise_count(~v & full).astype(np.int64)
+
+
+def _parts(a: list[str], b: list[str]):
+    """(places, _Pairs) with few masks each, for pairs whose first string is short."""
+    size = min(PAIRS, MASKS // 256)
+    for k in range(0, len(a), size):
+        yield np.arange(k, min(len(a), k + size)), _Pairs(a[k : k + size], b[k : k + size])
+
+
+def ratios(a: Sequence[str | None], b: Sequence[str | None]) -> np.ndarray:
+    a, b = [x or "" for x in a], [x or "" for x in b]
+    size = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64)
+    both = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    short = np.array([len(x) <= BITS for x, _ in both], bool)
+    lcs = np.zeros(len(a))
+    at = np.flatnonzero(short)
+    for k, pairs in _parts([both[i][0] for i in at], [both[i][1] for i in at]):
+        lcs[at[k]] = pairs.lcs(np.arange(len(k)))
+    for i in np.flatnonzero(~short):
+        lcs[i] = lcs_length(*both[i])
+    return np.where(size > 0, 2 * lcs / np.maximum(size, 1), 1.0)
+
+
+def partial_ratios(a: Sequence[str | None], b: Sequence[str | None]) -> np.ndarray:
+    """The best ratio of the shorter string with a window of its length (at the edges, shorter) of the longer."""
+    both = [(x, y) if len(x) <= len(y) else (y, x) for x, y in ((x or "", y or "") for x, y in zip(a, b, strict=True))]
+    out = np.zeros(len(both))
+    short = np.array([0 < len(x) <= BITS for x, _ in both], bool)
+    at = np.flatnonzero(short)
+    for k, pairs in _parts([both[i][0] for i in at], [both[i][1] for i in at]):
+        n, m = pairs.na[pairs.ia], pairs.nb[pairs.ib]
+        many = n + m - 1
+        done = np.cumsum(many)
+        lo = 0
+        while lo < len(k):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, "right")))
+            some = np.arange(lo, hi)
+            first = np.cumsum(many[some]) - many[some]
+            of = np.repeat(some, many[some])
+            start = 1 - n[of] + np.arange(len(of)) - np.repeat(first, many[some])
+            width = np.minimum(start + n[of], m[of]) - np.maximum(start, 0)
+            out[at[k[some]]] = np.maximum.reduceat(2 * pairs.lcs(of, start) / (n[of] + width), first)
+            lo = hi
+    for i in np.flatnonzero(~short):
+        x, y = both[i]
+        n = len(x)
+        windows = (y[max(0, s) : s + n] for s in range(1 - n, len(y)))
+        out[i] = max(2 * lcs_length(x, w) / (n + len(w)) for w in windows) if n else float(not y)
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best ratio of the shorter string with a window of its length (at the edges, shorter) of the longer."""
-
-    def one(x, y):
-        x, y = sorted((x or "", y or ""), key=len)
-        if not x:
-            return float(not y)
-        n = len(x)
-        return max(_ratio(x, y[max(0, i) : i + n]) for i in range(1 - n, len(y)))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(partial_ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
 def tokens(c: Column) -> Column:
@@ -75,6 +170,90 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when(empty, 0.0).when(inside, 1.0).otherwise(best)
 
 
+def _words(s: str) -> list[str]:
+    return [t for t in re.split(r"[ \t\n\x0b\f\r]+", s) if t]
+
+
+class _Labels:
+    """Token forms of strings, each made once, and the pairs of strings whose ratios are wanted."""
+
+    def __init__(self) -> None:
+        self.forms: dict[str, tuple[str, frozenset[str]]] = {}
+        self.wanted: dict[tuple[str, str], int] = {}
+
+    def form(self, s: str) -> tuple[str, frozenset[str]]:
+        if s not in self.forms:
+            words = _words(s)
+            self.forms[s] = " ".join(sorted(words)), frozenset(words)
+        return self.forms[s]
+
+    def want(self, a: str, b: str) -> int:
+        return self.wanted.setdefault((a, b), len(self.wanted))
+
+    def set_parts(self, a: str, b: str) -> tuple[float, int]:
+        """(a known lower bound of the token-set ratio, the place of a ratio that may be larger; -1 if there is none)."""
+        x, y = self.form(a)[1], self.form(b)[1]
+        if not x or not y:
+            return 0.0, -1
+        common = x & y
+        if common and (len(common) == len(x) or len(common) == len(y)):
+            return 1.0, -1
+        base = " ".join(sorted(common))
+        one, two = (" ".join([base, *sorted(z - common)]) if common else " ".join(sorted(z)) for z in (x, y))
+        # the common tokens begin both strings
+        known = 2 * len(base) / (len(base) + min(len(one), len(two))) if common else 0.0
+        return known, self.want(one, two)
+
+
+def label_similarities(mention: Sequence[str], label: Sequence[str], factor: Sequence[float], sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ratio, partial) of pairs of a mention and a label. The ratio is the mean of the best two of the character, token
+    sort and (for like lengths) token set ratios, nine tenths in lower case and one tenth as they are, times `factor`.
+    `partial` is only looked for where the ratio is below `sure`: most of the shorter string in one stretch of the other,
+    or all tokens of one in the other."""
+    k = _Labels()
+    n = len(mention)
+    places = np.zeros((n, 4), np.int64)
+    sets = np.zeros((n, 2))
+    set_at = np.full((n, 2), -1)
+    near = np.zeros(n, bool)
+    cases = []
+    for i, (m, x) in enumerate(zip(mention, label, strict=True)):
+        low, low_x = m.lower(), x.lower()
+        cases.append((low, low_x))
+        places[i] = k.want(low, low_x), k.want(m, x), k.want(k.form(low)[0], k.form(low_x)[0]), k.want(k.form(m)[0], k.form(x)[0])
+        near[i] = 0.5 < len(m) / max(1, len(x)) < 2
+        if near[i]:
+            for j, (a, b) in enumerate(((low, low_x), (m, x))):
+                sets[i, j], set_at[i, j] = k.set_parts(a, b)
+    value = np.append(ratios(*zip(*k.wanted, strict=True)) if k.wanted else np.zeros(0), 0.0)
+    each = value[places]
+    character, by_sort = 0.9 * each[:, 0] + 0.1 * each[:, 1], 0.9 * each[:, 2] + 0.1 * each[:, 3]
+    by_set = np.maximum(sets, value[set_at]) @ np.array([0.9, 0.1])
+    all_ = np.stack([character, by_sort, by_set])
+    ratio_ = (all_.sum(axis=0) - all_.min(axis=0)) / 2 * np.asarray(factor, float)
+    partial = near & (by_set > 0.9)
+    # a stretch that is over 0.9 alike has at least 0.8 of the shorter string in order
+    short = np.array([min(len(a), len(b)) for a, b in cases], float)
+    both = np.array([len(a) + len(b) for a, b in cases], float)
+    apart = np.array([abs(m.count(" ") - x.count(" ")) for m, x in zip(mention, label, strict=True)])
+    at = np.flatnonzero(~partial & (ratio_ < sure) & (apart <= 2) & (each[:, 0] * both / 2 >= 0.8 * short - 1e-9))
+    low = partial_ratios([cases[i][0] for i in at], [cases[i][1] for i in at])
+    raw = partial_ratios([mention[i] for i in at], [label[i] for i in at])
+    partial[at] = 0.9 * low + 0.1 * raw > 0.9
+    return ratio_, partial & (ratio_ < sure)
+
+
+def label_similarity(mention: Column, label: Column, factor: Column, sure: float) -> Column:
+    """struct<ratio, partial>; see `label_similarities`."""
+
+    @F.pandas_udf("ratio double, partial boolean")
+    def run(mention: pd.Series, label: pd.Series, factor: pd.Series) -> pd.DataFrame:
+        a, b = label_similarities(mention.tolist(), label.tolist(), factor.to_numpy(), sure)
+        return pd.DataFrame({"ratio": a, "partial": b})
+
+    return run(mention, label, factor)
+
+
 def best_two(a: Column, b: Column, c: Column) -> Column:
     """The mean of the two largest."""
     return (a + b + c - F.least(a, b, c)) / 2
