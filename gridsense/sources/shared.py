@@ -70,11 +70,13 @@ def sweep(spark: SparkSession, before: set[str], keep: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the session's Arrow batch to `rows`, so that batches of long texts stay small in executors and workers."""
+    """Lower the session's Arrow batch to `rows` and 16 MB, so that batches of long texts stay small in executors and
+    workers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def partitions(spark: SparkSession) -> int:
