@@ -27,24 +27,6 @@ def test_run_and_registry(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
-def test_different_texts_under_one_key_stay(spark, tmp_path):
-    a, b, c = ("".join(f"{w}{k} " for k in range(40)) for w in "abc")
-    rows = [(1, a, "s2"), (1, b, "s"), (1, a, "s1"), (2, a + "more", "s"), (3, c, "s"), (3, c, "s")]
-    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    got = sorted(tuple(r) for r in corpus_pipeline.minhash_near_dedup(spark, docs, SF).collect())
-    assert got == [(1, a, "s1"), (1, b, "s"), (3, c, "s")]
-
-
-def test_clashing_columns(spark, tmp_path):
-    rows = [(k, f"text {k} " * 30, "en", "s", k, k, k) for k in range(6)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _row long, _of long, _gone long").write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    for _, stage in corpus_pipeline.STAGES[1:4]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns and sorted((r.doc_id, r._row, r._of, r._gone) for r in out.collect()) == [(k, k, k, k) for k in range(6)]
-
-
 def test_odd_rows(spark, tmp_path):
     rows = [(None, "null key " * 30, "en", None, 5), (1, None, None, "s", None), (2, "", "en", "s", 0), (3, "same words here " * 20, "en", "s", 1), (3, "same words here " * 20, "en", "s", 1), (4, "same words here " * 20, "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
