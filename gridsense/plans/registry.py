@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import similarity, typing, values
 from ..operators import annotate, cells, columns, graph, lookup
 from ..sources.shared import table as stored
-from . import views
+from . import twins, views
+from .twins import WINDOW, ratio_sql, set_parts_sql, set_ratio_sql, windows_sql, words_sql
 from .views import C_CELLS, INDEX_SQL, S_CELLS, edges_sql, read
 
 QUERIES: dict = {}
@@ -170,20 +171,6 @@ def key_column(spark: SparkSession, sf: str) -> DataFrame:
 # --- similarity
 
 
-def _lcs(a: str, b: str) -> str:
-    row = f"list_reduce(range(1, length({b}) + 1), lambda acc, j: list_append(acc, greatest(acc[j], row_[j + 1], row_[j] + CASE WHEN substr({b}, j, 1) = substr({a}, i_[1], 1) THEN 1 ELSE 0 END)), [CAST(0 AS BIGINT)])"
-    del row
-    return (
-        f"list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [i]), lambda row_, i_: "
-        f"list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [j]), lambda acc, j: list_append(acc, greatest(acc[j[1]], row_[j[1] + 1], row_[j[1]] + CASE WHEN substr({b}, j[1], 1) = substr({a}, i_[1], 1) THEN 1 ELSE 0 END)), [CAST(0 AS BIGINT)]), "
-        f"list_transform(range(0, length({b}) + 1), lambda z: CAST(0 AS BIGINT)))[length({b}) + 1]"
-    )
-
-
-def _ratio_sql(a: str, b: str) -> str:
-    return f"(CASE WHEN {a} = {b} THEN 1.0 ELSE 2.0 * {_lcs(a, b)} / (length({a}) + length({b})) END)"
-
-
 _PAIRS = f"pairs AS (SELECT DISTINCT {views._NOISE.format(k='c_custkey', n='c_name')} AS a, 'Customer#00000' || lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS b FROM customer UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT n_name || ' of ' || r_name, r_name || ' ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
@@ -193,12 +180,12 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return c.union(n.select("n_name", "r_name")).union(n.select(F.concat("n_name", F.lit(" of "), "r_name"), F.concat("r_name", F.lit(" "), "n_name"))).distinct()
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round({_ratio_sql('a', 'b')}, 6) AS ratio FROM pairs")
+@query(f"WITH {_PAIRS} SELECT a, b, round({ratio_sql('a', 'b')}, 6) AS ratio FROM pairs")
 def sim_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("a", "b", F.round(similarity.ratio("a", "b"), 6).alias("ratio"))
 
 
-@query(f"WITH {_PAIRS}, s AS (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS x, array_to_string(list_sort(string_split(b, ' ')), ' ') AS y FROM pairs) SELECT a, b, round({_ratio_sql('x', 'y')}, 6) AS ratio FROM s")
+@query(f"WITH {_PAIRS}, s AS (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS x, array_to_string(list_sort(string_split(b, ' ')), ' ') AS y FROM pairs) SELECT a, b, round({ratio_sql('x', 'y')}, 6) AS ratio FROM s")
 def sim_token_sort(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("a", "b", F.round(similarity.token_sort_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
@@ -206,12 +193,17 @@ def sim_token_sort(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_PAIRS}, t AS (SELECT a, b, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM pairs),
 u AS (SELECT *, list_sort(list_intersect(x, y)) AS c, list_sort(list_filter(x, lambda w: NOT list_contains(y, w))) AS l, list_sort(list_filter(y, lambda w: NOT list_contains(x, w))) AS r FROM t),
 v AS (SELECT *, array_to_string(c, ' ') AS base, array_to_string(list_concat(c, l), ' ') AS one, array_to_string(list_concat(c, r), ' ') AS two FROM u)
-SELECT a, b, round(CASE WHEN len(c) > 0 AND (len(l) = 0 OR len(r) = 0) THEN 1.0 WHEN len(c) > 0 THEN greatest({_ratio_sql('base', 'one')}, {_ratio_sql('base', 'two')}, {_ratio_sql('one', 'two')}) ELSE {_ratio_sql('one', 'two')} END, 6) AS ratio FROM v""")
+SELECT a, b, round(CASE WHEN len(c) > 0 AND (len(l) = 0 OR len(r) = 0) THEN 1.0 WHEN len(c) > 0 THEN greatest({ratio_sql('base', 'one')}, {ratio_sql('base', 'two')}, {ratio_sql('one', 'two')}) ELSE {ratio_sql('one', 'two')} END, 6) AS ratio FROM v""")
 def sim_token_set(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("a", "b", F.round(similarity.token_set_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@query()
+_LOW = f"SELECT k, a, b, lower(a) AS x, lower(b) AS y, list_distinct({words_sql('lower(a)')}) AS xs, list_distinct({words_sql('lower(b)')}) AS ys, array_to_string(list_sort({words_sql('lower(a)')}), ' ') AS x_sorted, array_to_string(list_sort({words_sql('lower(b)')}), ' ') AS y_sorted FROM numbered"
+
+
+@query(f"""WITH {_PAIRS}, numbered AS MATERIALIZED (SELECT row_number() OVER () AS k, a, b FROM pairs), stretch AS (SELECT k, max({ratio_sql('x', 'v')}) AS p FROM (SELECT *, {WINDOW} AS v FROM ({windows_sql('numbered')})) GROUP BY k),
+low AS (SELECT *, {set_parts_sql('xs', 'ys', 't')} FROM ({_LOW})), three AS (SELECT k, a, b, {ratio_sql('x', 'y')} AS r1, {ratio_sql('x_sorted', 'y_sorted')} AS r2, {set_ratio_sql('xs', 'ys', 't')} AS r3 FROM low)
+SELECT a, b, round(p, 6) AS ratio, round((r1 + r2 + r3 - least(r1, r2, r3)) / 2, 6) AS textual FROM three JOIN stretch USING (k)""")
 def sim_partial(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("a", "b", F.round(similarity.partial_ratio("a", "b"), 6).alias("ratio"), F.round(similarity.textual_similarity(F.col("a"), F.col("b")), 6).alias("textual"))
 
@@ -241,30 +233,13 @@ def lookup_exact(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.exact(_mentions(spark, sf), _index(spark, sf))
 
 
-_BM25 = f"""WITH {INDEX_SQL}, {_MENTIONS},
-post AS (SELECT entity, label, origin, unnest(list_filter(regexp_split_to_array(lower(label), '[^0-9a-z]+'), lambda t: t <> '')) AS token FROM index_),
-tf AS (SELECT entity, label, origin, token, count(*) AS tf, sum(count(*)) OVER (PARTITION BY entity, label, origin) AS size FROM post GROUP BY entity, label, origin, token),
-mean AS (SELECT avg(size) AS mean FROM (SELECT DISTINCT entity, label, origin, size FROM tf)),
-df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-mt AS (SELECT DISTINCT mention, unnest(list_filter(regexp_split_to_array(mention, '[^0-9a-z]+'), lambda t: t <> '')) AS m FROM mentions),
-near AS (SELECT mention, token, df, min(levenshtein(m, token)) AS d FROM mt, df WHERE abs(length(m) - length(token)) <= 2 AND levenshtein(m, token) <= CASE WHEN length(m) <= 2 THEN 0 WHEN length(m) <= 5 THEN 1 ELSE 2 END GROUP BY ALL),
-rare AS (SELECT *, min(df) OVER (PARTITION BY mention) AS r FROM near),
-s AS (SELECT mention, entity, label, origin, sum((1 - d / greatest(length(token), 1)) * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS s
-  FROM rare JOIN tf USING (token), mean, (SELECT count(*) AS n FROM index_) WHERE (df <= 1000 OR df = r) AND length(label) BETWEEN floor(0.25 * length(mention)) AND ceil(4.0 * length(mention)) GROUP BY ALL),
-dfl AS (SELECT lower(label) AS text, count(*) AS df FROM index_ GROUP BY 1),
-near_l AS (SELECT mention, text, df, levenshtein(mention, text) AS d FROM (SELECT DISTINCT mention FROM mt), dfl WHERE abs(length(mention) - length(text)) <= 2 AND levenshtein(mention, text) <= CASE WHEN length(mention) <= 2 THEN 0 WHEN length(mention) <= 5 THEN 1 ELSE 2 END),
-w AS (SELECT mention, entity, label, origin, (1 - d / greatest(length(text), 1)) * ln(1 + (n - df + 0.5) / (df + 0.5)) AS s FROM near_l JOIN index_ ON lower(label) = text, (SELECT count(*) AS n FROM index_)),
-summed AS (SELECT mention, entity, label, origin, sum(s) AS s FROM (SELECT * FROM s UNION ALL SELECT * FROM w) GROUP BY ALL)
-SELECT mention, entity, label, origin, round(s * CASE origin WHEN 'MAIN_ALIAS' THEN 0.94 WHEN 'SUB_ALIAS' THEN 0.88 ELSE 1 END, 5) AS bm25 FROM summed"""
-
-
-@query(_BM25)
+@query(twins.BM25.replace("{mentions}", _MENTIONS))
 def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
     index = _index(spark, sf)
     return lookup.hits(_mentions(spark, sf), index).join(index, "label_id").select("mention", "entity", "label", "origin", F.round("bm25", 5).alias("bm25"))
 
 
-@query()
+@query(twins.LOOKUP.replace("{mentions}", _MENTIONS))
 def lookup_fuzzy_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.lookup(_mentions(spark, sf), _index(spark, sf), 20).select("mention", "entity", "label", "origin", F.round("ratio", 6).alias("ratio"), "partial", F.round("score", 6).alias("score"), "rank")
 
@@ -423,16 +398,16 @@ def annotated(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return annotate.annotate(body, kinds, ranked, e, types, graph.supertypes(e), stored(graph.type_neighbours(types, e), "neighbours"))
 
 
-@query()
+@query(twins.CEA)
 def annotate_cea(spark: SparkSession, sf: str) -> DataFrame:
     return annotated(spark, sf)["cea"].withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(twins.CTA)
 def annotate_cta(spark: SparkSession, sf: str) -> DataFrame:
     return annotated(spark, sf)["cta"].withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(twins.CPA)
 def annotate_cpa(spark: SparkSession, sf: str) -> DataFrame:
     return annotated(spark, sf)["cpa"].withColumn("score", F.round("score", 6))
