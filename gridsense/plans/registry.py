@@ -150,20 +150,26 @@ def column_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return columns.preprocess(views.customer_cells(spark, sf))
+    """Customers as they are, turned, without their header row, and of two rows."""
+    t = stored(views.customer_cells(spark, sf), "cells")
+    name = lambda letter: F.concat(F.lit(letter), "table_id")
+    turned = cells.transpose(t).withColumn("table_id", name("T"))
+    bare = t.where("row_idx > 0").withColumn("row_idx", F.col("row_idx") - 1).withColumn("table_id", name("B"))
+    two = t.where("row_idx < 2").withColumn("table_id", name("W"))
+    return columns.preprocess(t.unionByName(turned).unionByName(bare).unionByName(two))
 
 
-@query()
+@query(twins.ORIENTATION)
 def orientation(spark: SparkSession, sf: str) -> DataFrame:
     return _prepared(spark, sf)["orientation"]
 
 
-@query()
+@query(twins.HEADER)
 def header_score(spark: SparkSession, sf: str) -> DataFrame:
     return _prepared(spark, sf)["header"]
 
 
-@query()
+@query(twins.KEY)
 def key_column(spark: SparkSession, sf: str) -> DataFrame:
     return _prepared(spark, sf)["key"]
 

@@ -191,3 +191,50 @@ potentials AS MATERIALIZED (SELECT {_CAND}, count(*) AS n_potential, max(coverag
 CEA = f"{ROUNDS} SELECT {_CAND}, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM last_"
 CTA = f"{ROUNDS}, {cta_sql('final_', 'last_', True)} SELECT table_id, col_idx, type, round(score, 6) AS score, coverage, CAST(rank AS INT) AS rank FROM final_"
 CPA = f"{ROUNDS}, {cpa_sql('final_', 'last_', True, 'apart')} SELECT table_id, head, tail, path, round(score, 6) AS score, coverage, prox, CAST(rank AS INT) AS rank FROM final_"
+
+# --- what is inferred of a table
+
+
+def _mixed_sql(line: str, name: str) -> str:
+    """CTE `name` (table_id, m, s): mean and deviation of how mixed the data types of lines are."""
+    return f"""{name} AS (SELECT table_id, CASE WHEN count(*) > 1 THEN avg(h) END AS m, CASE WHEN count(*) > 1 THEN stddev_samp(h) END AS s FROM (SELECT table_id, power(avg(1 - power(1 - 2 * p, 2)), 2) AS h
+  FROM (SELECT table_id, {line}, dtype, count(*) / CAST(sum(count(*)) OVER (PARTITION BY table_id, {line}) AS DOUBLE) AS p FROM t WHERE row_idx > 0 AND col_idx > 0 GROUP BY table_id, {line}, dtype) GROUP BY table_id, {line}) GROUP BY table_id)"""
+
+
+def _spread_sql(line: str, name: str) -> str:
+    return f"{name} AS (SELECT table_id, avg(coalesce(s, 0)) AS x FROM (SELECT table_id, stddev_pop(length(value)) FILTER (value <> '') AS s, count(*) AS n, count(*) FILTER (value <> '') AS f FROM t GROUP BY table_id, {line}) WHERE 2 * f >= n GROUP BY table_id)"
+
+
+def _typed_sql(source: str) -> str:
+    return rf"""SELECT *, CASE WHEN regexp_full_match(value, '-?[0-9]+[.][0-9]+') THEN 'CARDINAL' ELSE 'UNKNOWN' END AS label,
+  CASE WHEN regexp_full_match(value, '-?[0-9]+[.][0-9]+') THEN 'CARDINAL' WHEN 2 * length(regexp_replace(value, '[^0-9]', '', 'g')) >= length(value) THEN 'String_Number' WHEN upper(value) = value THEN 'String_Uppercase' ELSE 'String_Normal' END AS dtype FROM {source}"""
+
+
+def _sure_sql(line: str, other: str) -> str:
+    return f"SELECT DISTINCT table_id FROM (SELECT table_id, {line}, label, count(*) / CAST(sum(count(*)) OVER (PARTITION BY table_id, {line}) AS DOUBLE) AS p FROM t WHERE {other} > 0 GROUP BY table_id, {line}, label) WHERE label <> 'UNKNOWN' AND p > 0.8"
+
+
+#: customers as they are, turned, without their header row, and of two rows
+_MIXED = f"""WITH {C_CELLS}, mixed AS (SELECT * FROM cells UNION ALL SELECT 'T' || table_id, col_idx, row_idx, value FROM cells UNION ALL SELECT 'B' || table_id, row_idx - 1, col_idx, value FROM cells WHERE row_idx > 0 UNION ALL SELECT 'W' || table_id, row_idx, col_idx, value FROM cells WHERE row_idx < 2),
+dims AS MATERIALIZED (SELECT table_id, max(row_idx) + 1 AS n_rows, max(col_idx) + 1 AS n_cols FROM mixed GROUP BY table_id HAVING max(row_idx) > 0), t AS MATERIALIZED ({_typed_sql('mixed SEMI JOIN dims USING (table_id)')}),
+{_mixed_sql('row_idx', 'rows_')}, {_mixed_sql('col_idx', 'cols_')}, {_spread_sql('row_idx', 'row_len')}, {_spread_sql('col_idx', 'col_len')},
+edge AS (SELECT table_id, avg(CASE WHEN label <> 'UNKNOWN' THEN 1.0 ELSE 0.0 END) FILTER (row_idx = 0) AS top, avg(CASE WHEN label <> 'UNKNOWN' THEN 1.0 ELSE 0.0 END) FILTER (col_idx = 0) AS lft FROM t WHERE (row_idx = 0) <> (col_idx = 0) GROUP BY table_id),
+across AS ({_sure_sql('col_idx', 'row_idx')}), down AS ({_sure_sql('row_idx', 'col_idx')}),
+facts AS (SELECT dims.*, r.m AS h, c.m AS v, 0.5 * r.s / sqrt(n_rows) AS hm, 0.5 * c.s / sqrt(n_cols) AS vm, coalesce(top, 0) AS top, coalesce(lft, 0) AS lft, table_id IN (SELECT * FROM across) AS hor, table_id IN (SELECT * FROM down) AS ver, coalesce(rl.x, 0) >= coalesce(cl.x, 0) AS wide, n_rows / CAST(n_cols AS DOUBLE) AS aspect
+  FROM dims LEFT JOIN rows_ r USING (table_id) LEFT JOIN cols_ c USING (table_id) LEFT JOIN edge USING (table_id) LEFT JOIN row_len rl USING (table_id) LEFT JOIN col_len cl USING (table_id)),
+picks AS (SELECT *, CASE WHEN n_rows <= 2 OR n_cols <= 2 THEN 0 WHEN h + hm + 0.01 < v - vm THEN 1 WHEN h - hm >= v + vm + 0.01 THEN 2 WHEN top > 0.5 AND lft < 0.05 THEN 3 WHEN lft > 0.5 AND top < 0.05 THEN 4 WHEN hor AND NOT ver THEN 5 WHEN ver AND NOT hor THEN 6
+  WHEN (aspect <= 0.25 OR aspect >= 4) AND n_rows >= n_cols THEN 7 WHEN aspect <= 0.25 OR aspect >= 4 THEN 8 WHEN wide THEN 9 ELSE 10 END AS pick FROM facts),
+sides AS MATERIALIZED (SELECT table_id, n_rows, n_cols, CASE WHEN pick IN (1, 3, 6, 8, 10) THEN 'VERTICAL' ELSE 'HORIZONTAL' END AS orientation, CASE pick WHEN 1 THEN ((v - vm) - (h + hm)) / ((v - vm) + CASE WHEN h < 0.1 THEN 0.1 ELSE 0 END) WHEN 2 THEN ((h - hm) - (v + vm)) / ((h - hm) + CASE WHEN v < 0.1 THEN 0.1 ELSE 0 END)
+  WHEN 3 THEN 0.2 WHEN 4 THEN 0.2 WHEN 5 THEN 0.15 WHEN 6 THEN 0.15 ELSE 0.1 END AS score FROM picks),
+turned AS MATERIALIZED (SELECT table_id, CASE WHEN orientation = 'VERTICAL' THEN col_idx ELSE row_idx END AS row_idx, CASE WHEN orientation = 'VERTICAL' THEN row_idx ELSE col_idx END AS col_idx, value, label, dtype, score AS o, CASE WHEN orientation = 'VERTICAL' THEN n_rows ELSE n_cols END AS n_cols FROM t JOIN sides USING (table_id)),
+votes AS (SELECT table_id, col_idx, label, count(*) / CAST(sum(count(*)) OVER (PARTITION BY table_id, col_idx) AS DOUBLE) AS score, row_number() OVER (PARTITION BY table_id, col_idx ORDER BY count(*) DESC) AS rank FROM turned WHERE row_idx > 0 GROUP BY table_id, col_idx, label)"""
+
+ORIENTATION = f"{_MIXED} SELECT table_id, orientation, round(score, 2) AS score FROM sides"
+HEADER = f"""{_MIXED}, met AS (SELECT h.table_id, h.col_idx, o, v.score, v.rank, v.label = h.label AS inside, h.label <> 'UNKNOWN' AS trusted FROM turned h JOIN votes v USING (table_id, col_idx) WHERE h.row_idx = 0)
+SELECT table_id, max(score) FILTER (trusted AND inside AND rank = 1 AND score > 0.2) IS NULL AS has_header, round(coalesce(max(score) FILTER (trusted AND inside AND rank = 1 AND score > 0.2), coalesce(sum(score) FILTER (NOT inside), 0) / count(DISTINCT col_idx)) * any_value(o), 2) AS score FROM met GROUP BY table_id"""
+KEY = f"""{_MIXED}, text_ AS (SELECT table_id, col_idx, avg(CASE WHEN dtype LIKE 'String%' THEN 1.0 ELSE 0.0 END) AS text_, row_number() OVER (PARTITION BY table_id ORDER BY col_idx) AS k FROM turned WHERE row_idx > 0 GROUP BY table_id, col_idx),
+counts AS (SELECT table_id, col_idx, any_value(o) AS o, any_value(n_cols) AS n_cols, count(*) AS n, count(DISTINCT value) FILTER (dtype LIKE 'String%' AND length(regexp_replace(value, '[^0-9A-Za-z, ;"]', '', 'g')) BETWEEN 4 AND 199) AS u FROM turned GROUP BY table_id, col_idx),
+some_ AS (SELECT *, min(CASE WHEN text_ > 0.5 THEN col_idx END) OVER (PARTITION BY table_id) AS first_ FROM text_ JOIN counts USING (table_id, col_idx) WHERE k <= CASE WHEN n_cols > 8 THEN 4 ELSE 3 END),
+rated AS (SELECT *, CASE WHEN text_ > 0.5 AND u > 0 THEN u / CAST(n AS DOUBLE) / sqrt(1 + 2 * (col_idx - first_)) ELSE 0 END AS s FROM some_),
+best AS (SELECT *, lead(s) OVER by_ AS next FROM rated WINDOW by_ AS (PARTITION BY table_id ORDER BY s DESC, col_idx) QUALIFY row_number() OVER by_ = 1)
+SELECT table_id, CAST(CASE WHEN s >= 0.25 THEN col_idx END AS INT) AS key_col, round(CASE WHEN s >= 0.25 THEN CASE WHEN next IS NULL THEN 1.0 ELSE (s - next) / (s + next) END * o ELSE 0.0 END, 2) AS score FROM best"""
