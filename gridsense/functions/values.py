@@ -53,6 +53,11 @@ def popularity(edges: Column) -> Column:
     return F.when(F.coalesce(edges, F.lit(0)) > 0, 1 / (2 + F.log10(2 + edges))).otherwise(0.0)
 
 
+def rank_weight(tag: Column) -> Column:
+    """Of a statement: 2 if preferred, 1 if normal, else 0."""
+    return F.when(tag == "PREFERRED", 2).when(tag == "NORMAL", 1).otherwise(0)
+
+
 def sigmoid_weight(sim: Column) -> Column:
     return 1 / (1 + F.exp(-((F.pow(sim, F.lit(2.5)) / 0.5 - 1) / 0.2)))
 

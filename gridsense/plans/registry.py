@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity, typing, values
 from ..operators import annotate, cells, columns, graph, lookup
 from ..sources.shared import table as stored
-from . import twins, views
+from . import small, twins, views
 from .twins import WINDOW, ratio_sql, set_parts_sql, set_ratio_sql, windows_sql, words_sql
 from .views import C_CELLS, INDEX_SQL, S_CELLS, edges_sql, read
 
@@ -226,7 +226,7 @@ def _mentions(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(similarity.normalise_label(F.col("value")).alias("mention")).distinct()
 
 
-_MENTIONS = f"{S_CELLS}, mentions AS (SELECT DISTINCT lower(regexp_replace(trim(value), '\\s+', ' ', 'g')) AS mention FROM cells WHERE row_idx > 0 AND col_idx < 3)"
+_MENTIONS = views.words_of(S_CELLS)
 
 
 @query(f"WITH {INDEX_SQL} SELECT entity, label, origin, CAST(length(label) AS INT) AS length, pr FROM index_")
@@ -417,3 +417,7 @@ def annotate_cta(spark: SparkSession, sf: str) -> DataFrame:
 @query(twins.CPA)
 def annotate_cpa(spark: SparkSession, sf: str) -> DataFrame:
     return annotated(spark, sf)["cpa"].withColumn("score", F.round("score", 6))
+
+
+QUERIES |= small.QUERIES
+ORACLE |= small.ORACLE

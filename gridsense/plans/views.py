@@ -148,6 +148,11 @@ def edges_sql(orders: bool = True) -> str:
     return f"fwd AS ({' UNION ALL '.join(rows)}), edges AS (SELECT subject, pid, object, tag FROM fwd UNION ALL SELECT object, '(-)' || pid, subject, tag FROM fwd WHERE tag = 'NORMAL')"
 
 
+def words_of(cells_sql: str) -> str:
+    """A CTE of the mentions of the supplier tables, after their cells."""
+    return f"{cells_sql}, mentions AS (SELECT DISTINCT lower(regexp_replace(trim(value), '\\s+', ' ', 'g')) AS mention FROM cells WHERE row_idx > 0 AND col_idx < 3)"
+
+
 def units(spark: SparkSession) -> DataFrame:
     rows = [("dollar", "$", "currency", "dollar", 1.0), ("metre", "m", "length", "metre", 1.0), ("kilometre", "km", "length", "metre", 1000.0), ("second", "s", "time", "second", 1.0), ("hour", "h", "time", "second", 3600.0), ("kilogram", "kg", "mass", "kilogram", 1.0), ("gram", "g", "mass", "kilogram", 0.001), ("metre per second", "m/s", "speed", "metre per second", 1.0)]
     return spark.createDataFrame(rows, "name string, symbol string, dimension string, base_unit string, factor double")
