@@ -80,15 +80,19 @@ def direct_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 def two_hop(pairs: DataFrame, edges: DataFrame, degree: DataFrame, transitive: list[str] | None = None) -> DataFrame:
     """(head, tail, node, path, prox): links of pairs over a shared neighbour, one row for each node and pair of edges.
 
-    Pairs fan out to the neighbours of their head first and meet the edges of their tail by (tail, node); both are
-    equi-joins whose skew on hubs the adaptive planner splits. A property on both sides (each seen from its own end)
+    Pairs fan out to the neighbours of their end with fewer edges and meet the edges of the other by (end, node); both
+    are equi-joins whose skew on hubs the adaptive planner splits. A property on both sides (each seen from its own end)
     in one direction keeps its name and proximity 1 if it is transitive; opposite directions weigh 1 / 1.75.
     """
     e = signed(edges).where(is_entity(F.col("tag"))).select(F.col("subject").alias("s"), F.col("pid").alias("p"), F.col("object").alias("node")).distinct()
-    distinct = pairs.select("head", "tail").distinct()
-    out = distinct.join(e.select(F.col("s").alias("head"), F.col("p").alias("p1"), "node"), "head")
+    size = lambda end: degree.select(F.col("entity").alias(end), F.col("num_edges").alias(f"{end}_edges"))
+    distinct = pairs.select("head", "tail").distinct().join(size("head"), "head").join(size("tail"), "tail")
+    fewer = F.col("head_edges") <= F.col("tail_edges")
+    one = e.select(F.col("s").alias("head"), F.col("p").alias("p1"), "node")
     back = e.select(F.col("s").alias("tail"), F.col("p").alias("q"), "node")
-    out = out.join(back, ["tail", "node"]).join(degree.select(F.col("entity").alias("node"), "num_edges"), "node").withColumn("p2", flip(F.col("q"))).withColumn("pop", popularity(F.col("num_edges")))
+    met = distinct.where(fewer).join(one, "head").join(back, ["tail", "node"])
+    met = met.unionByName(distinct.where(~fewer).join(back, "tail").join(one, ["head", "node"]))
+    out = met.join(degree.select(F.col("entity").alias("node"), "num_edges"), "node").withColumn("p2", flip(F.col("q"))).withColumn("pop", popularity(F.col("num_edges")))
     out = out.where("pop > 0")
     same = F.col("p1") == F.col("p2")
     chain = same & F.regexp_replace("p1", r"^\(-\)", "").isin(transitive or TRANSITIVE)
@@ -109,14 +113,6 @@ def paths(pairs: DataFrame, edges: DataFrame, degree: DataFrame, transitive: lis
     return direct.withColumn("best", F.lit(1.0)).unionByName(each.drop("most").join(best, ["head", "tail"]))
 
 
-def composed(p1: Column, p2: Column, pop: Column, transitive: list[str] | None = None) -> Column:
-    """The rule of `two_hop` as a column: struct<path, prox>."""
-    same = p1 == p2
-    chain = same & F.regexp_replace(p1, r"^\(-\)", "").isin(transitive or TRANSITIVE)
-    across = p1.startswith("(-)") != p2.startswith("(-)")
-    return F.struct(F.when(chain, p1).otherwise(F.concat_ws("::", p1, p2)).alias("path"), F.when(chain, 1.0).when(~same & across, pop / 1.75).otherwise(pop).alias("prox"))
-
-
 def rewrite(path: Column, names: Column) -> Column:
     """A path with every property replaced by what the map `names` has for it, hop by hop."""
 

@@ -263,7 +263,7 @@ def node_popularity(spark: SparkSession, sf: str) -> DataFrame:
     return graph.degrees(views.edges(spark, sf)).select("entity", F.round(values.popularity(F.col("num_edges")), 6).alias("popularity"))
 
 
-@query(f"""WITH {edges_sql(False)}, own AS (SELECT DISTINCT subject AS entity, object AS type FROM edges WHERE pid = 'P106'),
+@query(f"""WITH {edges_sql()}, own AS (SELECT DISTINCT subject AS entity, object AS type FROM edges WHERE pid = 'P106'),
 l1 AS (SELECT * FROM own UNION SELECT subject, object FROM edges WHERE pid = 'P31' AND subject NOT IN (SELECT entity FROM own)),
 up AS (SELECT DISTINCT subject AS type, object AS above FROM edges WHERE pid = 'P279'), l2 AS (SELECT DISTINCT entity, above AS type FROM l1 JOIN up USING (type)), l3 AS (SELECT DISTINCT entity, above AS type FROM l2 JOIN up USING (type))
 SELECT entity, type, 1 AS level FROM l1 UNION ALL SELECT entity, type, 2 FROM l2 UNION ALL SELECT entity, type, 3 FROM l3""")
@@ -272,15 +272,15 @@ def types_by_level(spark: SparkSession, sf: str) -> DataFrame:
     return graph.types_by_level(e.select(F.col("subject").alias("entity")), e)
 
 
-@query(f"WITH {edges_sql(False)} SELECT DISTINCT subject AS type, object AS neighbour FROM edges WHERE tag = 'NORMAL' AND pid <> '(-)P31' AND subject LIKE 'T:%'")
+@query(f"WITH {edges_sql()} SELECT DISTINCT subject AS type, object AS neighbour FROM edges WHERE tag = 'NORMAL' AND pid <> '(-)P31' AND subject LIKE 'T:%'")
 def type_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     e = _edges(spark, sf)
     return graph.type_neighbours(e.where(F.col("subject").startswith("T:")).select(F.col("subject").alias("type")), e)
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph without orders, written once, as several steps read it."""
-    return stored(views.edges(spark, sf, False), "edges")
+    """The whole graph, written once, as several steps read it."""
+    return stored(views.edges(spark, sf), "edges")
 
 
 def _entity_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -291,21 +291,12 @@ def _entity_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EPAIRS = "pairs AS (SELECT 'S' || s_suppkey AS head, 'N' || n_nationkey AS tail FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT 'S' || s_suppkey, 'R' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
-_FLIP = "CASE WHEN b.pid LIKE '(-)%' THEN substr(b.pid, 4) ELSE '(-)' || b.pid END"
-_HOPS = f"""d AS (SELECT DISTINCT head, tail, pid AS path FROM pairs JOIN edges ON subject = head AND object = tail WHERE tag = 'NORMAL'),
-deg AS (SELECT subject AS node, count(*) AS n FROM edges GROUP BY subject),
-e AS (SELECT DISTINCT subject, pid, object FROM edges WHERE tag = 'NORMAL'),
-hop AS (SELECT head, tail, a.object AS node, a.pid AS p1, {_FLIP} AS p2, 1 / (2 + log10(2 + n)) AS pop FROM pairs JOIN e a ON a.subject = head JOIN e b ON b.subject = tail AND b.object = a.object JOIN deg ON deg.node = a.object WHERE (head, tail) NOT IN (SELECT head, tail FROM d)),
-two AS (SELECT head, tail, node, CASE WHEN p1 = p2 AND replace(p1, '(-)', '') IN ('P131', 'P276', 'P279', 'P361', 'P403', 'P460', 'P527', 'P706') THEN p1 ELSE p1 || '::' || p2 END AS path,
-  CASE WHEN p1 = p2 AND replace(p1, '(-)', '') IN ('P131', 'P276', 'P279', 'P361', 'P403', 'P460', 'P527', 'P706') THEN 1.0 WHEN p1 <> p2 AND starts_with(p1, '(-)') <> starts_with(p2, '(-)') THEN pop / 1.75 ELSE pop END AS prox FROM hop)"""
-
-
-@query(f"WITH {edges_sql(False)}, {_EPAIRS} SELECT DISTINCT head, tail, pid AS path, 1.0::DOUBLE AS prox FROM pairs JOIN edges ON subject = head AND object = tail WHERE tag = 'NORMAL'")
+@query(f"WITH {edges_sql()}, {_EPAIRS} SELECT DISTINCT head, tail, pid AS path, 1.0::DOUBLE AS prox FROM pairs JOIN edges ON subject = head AND object = tail WHERE tag = 'NORMAL'")
 def direct_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.direct_paths(_entity_pairs(spark, sf), _edges(spark, sf))
 
 
-@query(f"WITH {edges_sql(False)}, {_EPAIRS}, {_HOPS} SELECT head, tail, path, round(min(prox), 6) AS prox FROM two GROUP BY ALL UNION ALL SELECT head, tail, path, 1.0 FROM d")
+@query(f"WITH {edges_sql()}, {_EPAIRS}, {twins.HOPS} SELECT head, tail, path, round(min(prox), 6) AS prox FROM two GROUP BY ALL UNION ALL SELECT head, tail, path, 1.0 FROM d")
 def two_hop_paths(spark: SparkSession, sf: str) -> DataFrame:
     e = _edges(spark, sf)
     return graph.paths(_entity_pairs(spark, sf), e, graph.degrees(e)).select("head", "tail", "path", F.round("prox", 6).alias("prox"))
@@ -345,17 +336,20 @@ def _exact_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
     return t, kinds, annotate.candidates(t, kinds, ranked)
 
 
-_CAND = f"{S_CELLS}, {INDEX_SQL}, {edges_sql(False)}, cand AS (SELECT table_id, row_idx, col_idx, entity FROM cells JOIN index_ ON lower(value) = lower(label) WHERE row_idx > 0 AND col_idx < 3 AND origin = 'LABEL'), n AS (SELECT table_id, count(DISTINCT row_idx) AS n FROM cells WHERE row_idx > 0 GROUP BY table_id)"
+_CAND = f"{S_CELLS}, {INDEX_SQL}, {edges_sql()}, cand AS (SELECT table_id, row_idx, col_idx, entity FROM cells JOIN index_ ON lower(value) = lower(label) WHERE row_idx > 0 AND col_idx < 3 AND origin = 'LABEL'), n AS (SELECT table_id, count(DISTINCT row_idx) AS n FROM cells WHERE row_idx > 0 GROUP BY table_id)"
 
 
-@query(f"WITH {_CAND} SELECT table_id, row_idx, col_idx, entity, round(0.1, 6)::DOUBLE AS score, CAST(1 AS INT) AS rank FROM cand")
+@query(twins.FIRST)
 def cea_first_pass(spark: SparkSession, sf: str) -> DataFrame:
-    _, kinds, cand = _exact_candidates(spark, sf)
+    """Fuzzy candidates before any relation is known."""
+    t = stored(views.supplier_cells(spark, sf).where("row_idx > 0"), "cells")
+    kinds = _kinds(spark, t)
+    cand = annotate.candidates(t, kinds, lookup.lookup(annotate.mentions(t, kinds), _index(spark, sf), 20))
     return annotate.cea(annotate.first_scores(cand, kinds), False).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {_CAND}, pc AS (SELECT a.table_id, a.row_idx, a.col_idx AS h, b.col_idx AS t, a.entity AS head, b.entity AS tail FROM cand a JOIN cand b ON a.table_id = b.table_id AND a.row_idx = b.row_idx AND a.col_idx < b.col_idx AND a.entity <> b.entity),
-pairs AS (SELECT DISTINCT head, tail FROM pc), {_HOPS},
+pairs AS (SELECT DISTINCT head, tail FROM pc), {twins.HOPS},
 paths AS (SELECT head, tail, path, min(prox) AS prox, max(max(prox)) OVER (PARTITION BY head, tail) AS best FROM (SELECT head, tail, path, prox FROM two UNION ALL SELECT head, tail, path, 1.0 FROM d) GROUP BY head, tail, path),
 r AS (SELECT table_id, h, t, row_idx, path, 0.1 * max(prox) AS s, min(prox) AS prox FROM pc JOIN paths USING (head, tail) WHERE best > 0.1 GROUP BY ALL),
 v AS (SELECT table_id, h, t, path, count(*) AS cnt, sum(s) AS tot, min(prox) AS prox FROM r GROUP BY ALL)

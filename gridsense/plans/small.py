@@ -204,37 +204,37 @@ def unit_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return graph.unit_symbols(nodes, edges, nodes, UNIT_SYMBOL, INSTANCE_OF, CURRENCY_CLASS)
 
 
-@query(f"WITH {edges_sql(False)} SELECT subject, pid, object FROM edges WHERE pid NOT LIKE '%P131%' AND subject NOT LIKE 'P%' AND object NOT LIKE 'P%'")
+@query(f"WITH {edges_sql()} SELECT subject, pid, object FROM edges WHERE pid NOT LIKE '%P131%' AND subject NOT LIKE 'P%' AND object NOT LIKE 'P%'")
 def without_property(spark: SparkSession, sf: str) -> DataFrame:
-    e = graph.signed(graph.without_property(views.edges(spark, sf, False), "P131"))
+    e = graph.signed(graph.without_property(views.edges(spark, sf), "P131"))
     return e.where("subject not like 'P%' and object not like 'P%'").select("subject", "pid", "object")
 
 
-@query(f"WITH {edges_sql(False)}, names(p, n) AS (VALUES ('P361', 'part of'), ('P131', 'located in')), paths AS (SELECT DISTINCT pid AS a FROM edges) SELECT x.a || '::' || y.a AS path, "
+@query(f"WITH {edges_sql()}, names(p, n) AS (VALUES ('P361', 'part of'), ('P131', 'located in')), paths AS (SELECT DISTINCT pid AS a FROM edges) SELECT x.a || '::' || y.a AS path, "
        "CASE WHEN x.a LIKE '(-)%' THEN '(-)' ELSE '' END || coalesce(m.n, replace(x.a, '(-)', '')) || '::' || CASE WHEN y.a LIKE '(-)%' THEN '(-)' ELSE '' END || coalesce(o.n, replace(y.a, '(-)', '')) AS written "
        "FROM paths x, paths y LEFT JOIN names m ON m.p = replace(x.a, '(-)', '') LEFT JOIN names o ON o.p = replace(y.a, '(-)', '')")
 def path_names(spark: SparkSession, sf: str) -> DataFrame:
     """Paths of two hops with their properties' names."""
-    pids = graph.signed(views.edges(spark, sf, False)).select("pid").distinct()
+    pids = graph.signed(views.edges(spark, sf)).select("pid").distinct()
     names = F.create_map(F.lit("P361"), F.lit("part of"), F.lit("P131"), F.lit("located in"))
     # the properties of the graph are few
     two = pids.select(F.col("pid").alias("a")).crossJoin(F.broadcast(pids.select(F.col("pid").alias("b")))).select(F.concat_ws("::", "a", "b").alias("path"))
     return two.select("path", graph.rewrite(F.col("path"), names).alias("written"))
 
 
-@query(f"WITH {edges_sql(False)} SELECT subject, pid, object, tag FROM edges WHERE subject IN ('N1', 'N2', 'R0')")
+@query(f"WITH {edges_sql()} SELECT subject, pid, object, tag FROM edges WHERE subject IN ('N1', 'N2', 'R0')")
 def graph_point_read(spark: SparkSession, sf: str) -> DataFrame:
     """The graph written by subject buckets, and the edges of three entities out of it."""
     path = f"{folder(spark)}/graph-{uuid.uuid4().hex}"
-    sinks.write_graph(views.edges(spark, sf, False), path)
+    sinks.write_graph(views.edges(spark, sf), path)
     found = sinks.point_read(spark.read.parquet(path), ["N1", "N2", "R0"])
     return graph.signed(found).select("subject", "pid", "object", "tag")
 
 
-@query(f"WITH {edges_sql(False)} SELECT subject, pid, object, tag FROM edges WHERE regexp_matches(subject, '^[NRT]') AND pid NOT IN ('(-)P131', '(-)P31')")
+@query(f"WITH {edges_sql()} SELECT subject, pid, object, tag FROM edges WHERE regexp_matches(subject, '^[NRT]') AND pid NOT IN ('(-)P131', '(-)P31')")
 def graph_dump(spark: SparkSession, sf: str) -> DataFrame:
     """The graph of regions, nations and types as JSON lines with trailing commas, read back as edges."""
-    e = graph.signed(views.edges(spark, sf, False)).where("subject rlike '^[NRT]' and pid not in ('(-)P131', '(-)P31')")
+    e = graph.signed(views.edges(spark, sf)).where("subject rlike '^[NRT]' and pid not in ('(-)P131', '(-)P31')")
     props = e.groupBy("subject", "pid").agg(F.map_from_entries(F.collect_list(F.struct("object", "tag"))).alias("m"))
     lines = props.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("pid", "m"))).alias("p"))
     path = f"{folder(spark)}/dump-{uuid.uuid4().hex}"

@@ -156,7 +156,7 @@ _KINDS = r"""kinds AS MATERIALIZED (SELECT table_id, col_idx, CASE WHEN avg(CASE
   AND avg(CASE WHEN len(list_distinct(regexp_extract_all(value, '[[:punct:]]'))) > 3 THEN 1 ELSE 0 END) < 0.5 THEN 'entity' ELSE 'without_unit' END AS kind FROM cells WHERE row_idx > 0 GROUP BY ALL),
 mentions AS MATERIALIZED (SELECT DISTINCT lower(value) AS mention FROM cells JOIN kinds USING (table_id, col_idx) WHERE row_idx > 0 AND kind = 'entity' AND length(value) > 1)"""
 
-ROUNDS = f"""WITH {ranked_sql(S_CELLS + ', ' + _KINDS)}, {edges_sql(False)},
+ROUNDS = f"""WITH {ranked_sql(S_CELLS + ', ' + _KINDS)}, {edges_sql()},
 answered AS (SELECT table_id, col_idx, avg(CASE WHEN r.mention IS NULL THEN 0 ELSE 1 END) AS share FROM cells LEFT JOIN (SELECT DISTINCT mention FROM ranked) r ON r.mention = lower(value) WHERE row_idx > 0 GROUP BY ALL),
 sorts AS MATERIALIZED (SELECT table_id, col_idx, CASE WHEN kind = 'entity' AND share < 0.3 THEN 'text' ELSE kind END AS kind FROM kinds JOIN answered USING (table_id, col_idx)),
 n_rows AS MATERIALIZED (SELECT table_id, count(DISTINCT row_idx) AS n FROM cells WHERE row_idx > 0 GROUP BY table_id), n_cols AS (SELECT table_id, count(*) AS cols FROM sorts GROUP BY table_id),
@@ -188,6 +188,7 @@ need AS (SELECT table_id, head AS col_idx, path AS pid, coverage FROM two_ WHERE
 potentials AS MATERIALIZED (SELECT {_CAND}, count(*) AS n_potential, max(coverage) AS potential FROM cand JOIN need USING (table_id, col_idx) JOIN (SELECT DISTINCT subject AS entity, pid FROM edges) USING (entity, pid) GROUP BY ALL),
 {cea_sql('last_', 'again', 'types_2', True)}"""
 
+FIRST = f"{ROUNDS} SELECT {_CAND}, round(0.1 * sim, 6) AS score, CAST(row_number() OVER (PARTITION BY {_CELL} ORDER BY round(0.1 * sim, 9) DESC, rank) AS INT) AS rank FROM cand"
 CEA = f"{ROUNDS} SELECT {_CAND}, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM last_"
 CTA = f"{ROUNDS}, {cta_sql('final_', 'last_', True)} SELECT table_id, col_idx, type, round(score, 6) AS score, coverage, CAST(rank AS INT) AS rank FROM final_"
 CPA = f"{ROUNDS}, {cpa_sql('final_', 'last_', True, 'apart')} SELECT table_id, head, tail, path, round(score, 6) AS score, coverage, prox, CAST(rank AS INT) AS rank FROM final_"
