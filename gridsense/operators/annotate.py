@@ -75,7 +75,7 @@ def entity_pairs(cand: DataFrame, edges: DataFrame, degree: DataFrame, transitiv
     h = cand.select("table_id", "row_idx", F.col("col_idx").alias("h_col"), F.col("entity").alias("head"), F.col("sim").alias("h_sim"), F.col("len").alias("h_len"))
     t = cand.select("table_id", "row_idx", F.col("col_idx").alias("t_col"), F.col("entity").alias("tail"), F.col("sim").alias("t_sim"), F.col("len").alias("t_len"))
     pairs = h.join(t, ["table_id", "row_idx"]).where("h_col < t_col and head <> tail")
-    paths = graph.paths(pairs, edges, degree, transitive)
+    paths = stored(graph.paths(pairs, edges, degree, transitive), "paths")
     best = paths.select("head", "tail", "best").distinct()
     need = lambda n: F.when(F.col(n) > 5, 0.7).otherwise(0.9)
     side = lambda sim, n: F.when((F.col("best") > 0) & (F.col(sim) >= need(n)), F.greatest(F.lit(0.1), F.col("best") * F.col(sim))).otherwise(0.1)
@@ -111,6 +111,7 @@ def literal_matches(cand: DataFrame, cells: DataFrame, kinds: DataFrame, edges:
 def context(cand: DataFrame, cells: DataFrame, kinds: DataFrame, edges: DataFrame, degree: DataFrame, units: DataFrame | None = None, transitive: list[str] | None = None) -> Context:
     """What the other cells of a row say for each candidate."""
     pairs, paths = entity_pairs(cand, edges, degree, transitive)
+    pairs = stored(pairs, "pairs")
     heads = pairs.select("table_id", "row_idx", F.col("h_col").alias("col_idx"), F.col("head").alias("entity"), F.col("t_col").alias("ctx_col"), F.col("h_score").alias("score"))
     tails = pairs.select("table_id", "row_idx", F.col("t_col").alias("col_idx"), F.col("tail").alias("entity"), F.col("h_col").alias("ctx_col"), F.col("t_score").alias("score"))
     others = kinds.where("kind = 'entity'").select("table_id", F.col("col_idx").alias("ctx_col"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import flip, popularity
 from ..model import DIFFERENT_FROM, INSTANCE_OF, SUBCLASS_OF, TRANSITIVE, TYPE_PROPERTIES
+from ..sources.shared import table as stored
 
 STATEMENT_TAGS = ["NORMAL", "PREFERRED", "DEPRECATED"]
 
@@ -71,27 +72,41 @@ def type_neighbours(types: DataFrame, edges: DataFrame, instance_of: str = INSTA
     return kept.join(types.select(F.col("type").alias("subject")).distinct(), "subject", "left_semi").select(F.col("subject").alias("type"), F.col("object").alias("neighbour")).distinct()
 
 
+def _entity_edges(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """(s, p, node): the edges between entities of the subjects in `ends`."""
+    e = signed(edges).where(is_entity(F.col("tag"))).select(F.col("subject").alias("s"), F.col("pid").alias("p"), F.col("object").alias("node"))
+    return e.join(ends, "s", "left_semi").distinct()
+
+
 def direct_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(head, tail, path, prox): properties that link a pair, proximity 1."""
-    e = signed(edges).where(is_entity(F.col("tag"))).select(F.col("subject").alias("head"), F.col("object").alias("tail"), F.col("pid").alias("path"))
-    return pairs.select("head", "tail").distinct().join(e, ["head", "tail"]).distinct().withColumn("prox", F.lit(1.0))
+    distinct = pairs.select("head", "tail").distinct()
+    return _direct(distinct, _entity_edges(edges, distinct.select(F.col("head").alias("s")).distinct()))
+
+
+def _direct(pairs: DataFrame, mine: DataFrame) -> DataFrame:
+    e = mine.select(F.col("s").alias("head"), F.col("node").alias("tail"), F.col("p").alias("path"))
+    return pairs.join(e, ["head", "tail"]).withColumn("prox", F.lit(1.0))
 
 
-def two_hop(pairs: DataFrame, edges: DataFrame, degree: DataFrame, transitive: list[str] | None = None) -> DataFrame:
-    """(head, tail, node, path, prox): links of pairs over a shared neighbour, one row for each node and pair of edges.
+def two_hop(pairs: DataFrame, mine: DataFrame, degree: DataFrame, transitive: list[str] | None = None) -> DataFrame:
+    """(head, tail, node, path, prox): links of distinct pairs over a shared neighbour, one row for each node and pair
+    of edges; `mine` are the edges of the pairs' ends.
 
-    Pairs fan out to the neighbours of their end with fewer edges and meet the edges of the other by (end, node); both
-    are equi-joins whose skew on hubs the adaptive planner splits. A property on both sides (each seen from its own end)
-    in one direction keeps its name and proximity 1 if it is transitive; opposite directions weigh 1 / 1.75.
+    Only neighbours that some head and some tail have are of use. Pairs fan out to those of their end that has fewer,
+    and meet those of the other by (end, node); all are equi-joins whose skew on hubs the adaptive planner splits. A
+    property on both sides (each seen from its own end) in one direction keeps its name and proximity 1 if it is
+    transitive; opposite directions weigh 1 / 1.75.
     """
-    e = signed(edges).where(is_entity(F.col("tag"))).select(F.col("subject").alias("s"), F.col("pid").alias("p"), F.col("object").alias("node")).distinct()
-    size = lambda end: degree.select(F.col("entity").alias(end), F.col("num_edges").alias(f"{end}_edges"))
-    distinct = pairs.select("head", "tail").distinct().join(size("head"), "head").join(size("tail"), "tail")
+    of = lambda end, p: mine.select(F.col("s").alias(end), F.col("p").alias(p), "node").join(pairs.select(end).distinct(), end, "left_semi")
+    one, back = of("head", "p1"), of("tail", "q")
+    one, back = one.join(back.select("node").distinct(), "node", "left_semi"), back.join(one.select("node").distinct(), "node", "left_semi")
+    one, back = stored(one, "heads"), stored(back, "tails")
+    size = lambda end, df: df.groupBy(end).agg(F.count("*").alias(f"{end}_edges"))
+    both = pairs.join(size("head", one), "head").join(size("tail", back), "tail")
     fewer = F.col("head_edges") <= F.col("tail_edges")
-    one = e.select(F.col("s").alias("head"), F.col("p").alias("p1"), "node")
-    back = e.select(F.col("s").alias("tail"), F.col("p").alias("q"), "node")
-    met = distinct.where(fewer).join(one, "head").join(back, ["tail", "node"])
-    met = met.unionByName(distinct.where(~fewer).join(back, "tail").join(one, ["head", "node"]))
+    met = both.where(fewer).join(one, "head").join(back, ["tail", "node"])
+    met = met.unionByName(both.where(~fewer).join(back, "tail").join(one, ["head", "node"]))
     out = met.join(degree.select(F.col("entity").alias("node"), "num_edges"), "node").withColumn("p2", flip(F.col("q"))).withColumn("pop", popularity(F.col("num_edges")))
     out = out.where("pop > 0")
     same = F.col("p1") == F.col("p2")
@@ -105,9 +120,13 @@ def two_hop(pairs: DataFrame, edges: DataFrame, degree: DataFrame, transitive: l
 def paths(pairs: DataFrame, edges: DataFrame, degree: DataFrame, transitive: list[str] | None = None) -> DataFrame:
     """(head, tail, path, prox, best): direct links, or else two-hop ones with the least proximity of each path; `best`
     is the largest proximity over all of a pair's links."""
-    direct = direct_paths(pairs, edges)
-    rest = pairs.select("head", "tail").distinct().join(direct.select("head", "tail").distinct(), ["head", "tail"], "left_anti")
-    hops = two_hop(rest, edges, degree, transitive)
+    distinct = stored(pairs.select("head", "tail").distinct(), "pairs")
+    ends = distinct.select(F.col("head").alias("s")).union(distinct.select(F.col("tail").alias("s"))).distinct()
+    # the graph is read once; what follows needs the edges of the ends only
+    mine = stored(_entity_edges(edges, ends), "ends")
+    direct = _direct(distinct, mine)
+    rest = distinct.join(direct.select("head", "tail").distinct(), ["head", "tail"], "left_anti")
+    hops = two_hop(rest, mine, degree, transitive)
     each = hops.groupBy("head", "tail", "path").agg(F.min("prox").alias("prox"), F.max("prox").alias("most"))
     best = each.groupBy("head", "tail").agg(F.max("most").alias("best"))
     return direct.withColumn("best", F.lit(1.0)).unionByName(each.drop("most").join(best, ["head", "tail"]))

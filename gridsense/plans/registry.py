@@ -242,7 +242,7 @@ def lookup_exact(spark: SparkSession, sf: str) -> DataFrame:
 @query(twins.BM25.replace("{mentions}", _MENTIONS))
 def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
     index = _index(spark, sf)
-    return lookup.hits(_mentions(spark, sf), index).join(index, "label_id").select("mention", "entity", "label", "origin", F.round("bm25", 5).alias("bm25"))
+    return lookup.hits(_mentions(spark, sf), index).select("mention", "entity", "label", "origin", F.round("bm25", 5).alias("bm25"))
 
 
 @query(twins.LOOKUP.replace("{mentions}", _MENTIONS))

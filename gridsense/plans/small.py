@@ -252,7 +252,7 @@ def lookup_capped(spark: SparkSession, sf: str) -> DataFrame:
     t = views.supplier_cells(spark, sf).where("row_idx > 0 and col_idx < 3")
     mentions = t.select(normalise_label(F.col("value")).alias("mention")).distinct()
     index = lookup.label_documents(views.label_dump(spark, sf))
-    return lookup.hits(mentions, index, LookupConfig(max_hits=7)).join(index, "label_id").select("mention", "entity", "label", "origin", F.round("bm25", 5).alias("bm25"))
+    return lookup.hits(mentions, index, LookupConfig(max_hits=7)).select("mention", "entity", "label", "origin", F.round("bm25", 5).alias("bm25"))
 
 
 @query(twins.LOOKUP.replace("{mentions}", words_of(S_CELLS)).replace("SELECT mention, entity, label, origin, round(ratio, 6) AS ratio, partial, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 20", "SELECT round(avg(n), 2) AS average FROM (SELECT mention, count(*) AS n FROM ranked GROUP BY mention)"))
