@@ -9,9 +9,12 @@ about one position in fifty is an anchor. The windows of one anchor are consecut
    several contexts leaves open which windows of those are shared.
 2. The bytes of such contexts are sent on, by the anchor and half of what surrounds it, so that a string which very
    many texts share is spread by its surroundings: a window holds half of them on the left, or else on the right.
-3. There, batches of contexts get suffix arrays (the starts of their windows, sorted by their first eight bytes and
-   a fingerprint of all of them). A batch's array is merge-scanned against the arrays of all levels, equal neighbours
-   are repeated windows, and levels of like size are merged, so a suffix is merged a logarithmic number of times.
+   Anchors of very many contexts would still be too much for one owner or one place. They are counted beforehand, have
+   no owner, and send windows instead, by the windows' own fingerprints; windows that a chunk has twice are settled.
+3. There, batches of contexts or windows get suffix arrays (the starts of windows, sorted by their first eight bytes and
+   a fingerprint of all of them; equal are those that agree in both and in a second fingerprint, 192 bits in all). A
+   batch's array is merge-scanned against the arrays of all levels, equal neighbours are repeated windows, and levels
+   of like size are merged, so a suffix is merged a logarithmic number of times.
 4. Settled and found windows come back to their texts as intervals, and the rest is kept.
 
 Texts travel as compressed chunks. A chunk's number is its place in the scan, so the input must be a table that two
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .arrowtext import U, buffers, mix, prefix_hash, slices, span_hash, tidy
+from .arrowtext import U, buffers, mix, prefix_hash, second_hash, slices, span_hash, tidy
 from .tokens import _spread
 
 CHUNK = 1_000_000
@@ -39,7 +42,10 @@ ANCHOR = np.dtype([("a", "<u8"), ("c", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("q"
 SPAN = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 SHIP = np.dtype([("lo", "<u4"), ("n", "<u2"), ("q", "<u2"), ("single", "u1")])
 PIECE = np.dtype([("chunk", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("bytes", "<u2"), ("single", "u1")])
+ENTRY = np.dtype([("head", "<u8"), ("mark", "<u8"), ("other", "<u8"), ("lo", "<u4"), ("single", "u1")])
 SUFFIX_BATCH = 300_000  # windows of a new suffix array
+HOT_SHARE = 8  # an anchor with more contexts than this part of a bucket's share is hot: there are few such anchors
+HOT_LEAST = 1000  # but none with fewer contexts
 
 
 def _number(count: int) -> int:
@@ -162,6 +168,74 @@ def _grouped(batches: Iterator[pa.RecordBatch]):
         yield at, rows
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, n): anchors of which a task has several contexts, with their number; a null anchor has the number of all."""
+    held, total = [], 0
+
+    def summed(parts):
+        a = np.concatenate([x for x, _ in parts])
+        have, inv = np.unique(a, return_inverse=True)
+        return have, np.bincount(inv, np.concatenate([n for _, n in parts]), len(have)).astype(np.int64)
+
+    for batch in batches:
+        kind = batch.column(0).to_numpy()
+        for blob in batch.column(4).filter(pa.array(kind == 0)).to_pylist():
+            a = np.frombuffer(blob, ANCHOR)["a"]
+            total += len(a)
+            held.append((a, np.ones(len(a), np.int64)))
+        if sum(len(a) for a, _ in held) > 2_000_000:
+            held = [summed(held)]
+            # what is rare so far may still come often, but then it is not rare in the rest
+            if len(held[0][0]) > 1_000_000:
+                often = held[0][1] > 1
+                held = [(held[0][0][often], held[0][1][often])]
+    a, n = summed(held) if held else (np.zeros(0, U), np.zeros(0, np.int64))
+    often = n > 1
+    none = pa.array([None], pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a[often].view(np.int64)), none]), pa.array(np.append(n[often], total))], ["a", "n"])
+
+
+def hot_anchors(found: DataFrame, buckets: int) -> np.ndarray:
+    """Anchors with too many contexts for one owner; at most HOT_SHARE times `buckets`."""
+    sums = found.select("*").mapInArrow(tidy(_repeated), "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    sums = scratch.table(sums, "repeated")
+    total = sums.where("a is null").first()
+    least = max(HOT_LEAST, (total["n"] if total else 0) // (HOT_SHARE * buckets))
+    rows = sums.where((F.col("n") > least) & F.col("a").isNotNull()).select("a").collect()
+    scratch.drop(sums)
+    return np.sort(np.array([r["a"] for r in rows], np.int64).view(U))
+
+
+def _parted(hot: np.ndarray):
+    """Anchors' rows without the hot ones, whose contexts go straight to their chunk to be shipped (kind 3)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(hot):
+                yield batch
+                continue
+            out = []
+            for kind, bucket, chunk, crc, blob in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if kind != 0:
+                    out.append((kind, bucket, chunk, crc, blob))
+                    continue
+                x = np.frombuffer(blob, ANCHOR)
+                at = np.minimum(np.searchsorted(hot, x["a"]), len(hot) - 1)
+                is_hot = hot[at] == x["a"]
+                if (~is_hot).any():
+                    out.append((0, bucket, chunk, crc, x[~is_hot].tobytes()))
+                if is_hot.any():
+                    some = x[is_hot]
+                    ship = np.zeros(len(some), SHIP)
+                    for k in ("lo", "n", "q"):
+                        ship[k] = some[k]
+                    ship["single"] = some["twice"] == 0
+                    out.append((3, chunk, chunk, crc, ship.tobytes()))
+            yield _rows(out)
+
+    return run
+
+
 def _own(length: int):
     """Of an owner's anchors, for each chunk: kind 1, spans of contexts found twice; kind 2, contexts to ship."""
 
@@ -240,13 +314,42 @@ def _with_text(batches: Iterator[pa.RecordBatch]):
 
 
 def _ship(length: int, buckets: int):
-    """Contexts' bytes for the task that owns their anchor and half of what surrounds it."""
+    """Contexts' bytes for the task that owns their anchor and half of what surrounds it (the kind is the number of
+    contexts); windows of hot anchors for the task that owns their fingerprint (minus the number of windows); spans of
+    windows that a chunk has twice (0)."""
     half = length // 2
     quarter = (length - half) // 2
 
+    def windows(raw: np.ndarray, x: np.ndarray, chunk: int, crc: int) -> Iterator[tuple]:
+        n = x["n"].astype(np.int64)
+        start = _spread(x["lo"].astype(np.int64), n)
+        single = np.repeat(x["single"], n) > 0
+        mark, other = span_hash(prefix_hash(raw), start, start + length), second_hash(raw, start, start + length)
+        order = np.lexsort((~single, other, mark))  # of equal ones a single comes first
+        new = np.concatenate([[True], (mark[order][1:] != mark[order][:-1]) | (other[order][1:] != other[order][:-1])])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(order)))
+        several = np.repeat(size > 1, size)
+        settled = order[several & single[order]]
+        if len(settled):
+            span = np.zeros(len(settled), SPAN)
+            span["lo"], span["hi"] = start[settled], start[settled] + length
+            yield 0, chunk, chunk, crc, span.tobytes()
+        at = order[first]
+        entry = np.zeros(len(at), ENTRY)
+        place = start[at]
+        for k in range(8):
+            entry["head"] |= raw[place + k].astype(U) << U(56 - 8 * k)
+        entry["mark"], entry["other"], entry["lo"], entry["single"] = mark[at], other[at], place, single[at] & (size == 1)
+        for bucket, e in _by(entry, entry["mark"] % U(buckets)):
+            yield -len(e), bucket, chunk, crc, e.tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, crc, raw, _, _, _, others in _with_text(batches):
             asked = [np.frombuffer(blob, SHIP) for kind, blob in others if kind == 2]
+            hot = [np.frombuffer(blob, SHIP) for kind, blob in others if kind == 3]
+            if hot:
+                yield _rows(list(windows(raw, np.concatenate(hot), chunk, crc)))
             if not asked:
                 continue
             x = np.concatenate(asked)
@@ -275,20 +378,20 @@ def _ship(length: int, buckets: int):
 
 
 class Level:
-    """A suffix array: windows sorted by their first eight bytes, then by fingerprint. `ref` numbers the windows."""
+    """A suffix array: windows sorted by their first eight bytes, then by fingerprints. `ref` numbers the windows."""
 
-    def __init__(self, head: np.ndarray, mark: np.ndarray, ref: np.ndarray, ordered: bool = False):
+    def __init__(self, head: np.ndarray, mark: np.ndarray, other: np.ndarray, ref: np.ndarray, ordered: bool = False):
         if not ordered:
-            by = np.lexsort((mark, head))
-            head, mark, ref = head[by], mark[by], ref[by]
-        self.head, self.mark, self.ref = head, mark, ref
+            by = np.lexsort((other, mark, head))
+            head, mark, other, ref = head[by], mark[by], other[by], ref[by]
+        self.head, self.mark, self.other, self.ref = head, mark, other, ref
 
     def __len__(self) -> int:
         return len(self.ref)
 
     def repeats(self) -> np.ndarray:
         """Refs with an equal neighbour."""
-        same = (self.head[1:] == self.head[:-1]) & (self.mark[1:] == self.mark[:-1])
+        same = (self.head[1:] == self.head[:-1]) & (self.mark[1:] == self.mark[:-1]) & (self.other[1:] == self.other[:-1])
         hit = np.zeros(len(self), bool)
         hit[1:] |= same
         hit[:-1] |= same
@@ -296,17 +399,17 @@ class Level:
 
     def merged(self, other: Level) -> Level:
         """The linear merge of two arrays (a stable sort of two runs is one)."""
-        head, mark, ref = (np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("head", "mark", "ref"))
+        head, mark, second, ref = (np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("head", "mark", "other", "ref"))
         by = np.argsort(head, kind="stable")
-        head, mark, ref = head[by], mark[by], ref[by]
+        head, mark, second, ref = head[by], mark[by], second[by], ref[by]
         # within equal heads, order by fingerprint
         tie = np.concatenate([[False], head[1:] == head[:-1]])
         if tie.any():
             group = np.cumsum(~tie)
             inside = np.flatnonzero(tie | np.append(tie[1:], False))
-            order = inside[np.lexsort((mark[inside], group[inside]))]
-            mark[inside], ref[inside] = mark[order], ref[order]
-        return Level(head, mark, ref, True)
+            order = inside[np.lexsort((second[inside], mark[inside], group[inside]))]
+            mark[inside], second[inside], ref[inside] = mark[order], second[order], ref[order]
+        return Level(head, mark, second, ref, True)
 
 
 class Family:
@@ -329,7 +432,7 @@ class Family:
             if len(i) > 4 * (len(new) + len(level)):  # heads that very many share: merge instead of pairing
                 found.append(level.merged(new).repeats())
                 continue
-            hit = new.mark[i] == level.mark[j]
+            hit = (new.mark[i] == level.mark[j]) & (new.other[i] == level.other[j])
             found += [new.ref[i[hit]], level.ref[j[hit]]]
         while self.levels and len(self.levels[-1]) <= 2 * len(new):
             new = self.levels.pop().merged(new)
@@ -349,33 +452,53 @@ def _match(length: int):
         head = np.zeros(len(data), U)
         for k in range(8):
             head[: len(data) - k] |= data[k:].astype(U) << U(56 - 8 * k)
-        return Level(head[start], span_hash(h, start, start + length), base + np.arange(len(start)))
+        return Level(head[start], span_hash(h, start, start + length), second_hash(data, start, start + length), base + np.arange(len(start)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
             family, kept, hits, base = Family(), [], [], 0
             crcs: dict[int, int] = {}
             batch: list[tuple[np.ndarray, np.ndarray]] = []
+            loose: list[tuple[int, np.ndarray]] = []
             held = 0
 
-            def take():
-                nonlocal base, batch, held
-                pieces = np.concatenate([p for p, _ in batch])
-                level = windows(pieces, np.concatenate([d for _, d in batch]), base)
+            def add(pieces: np.ndarray, level: Level) -> None:
+                nonlocal base
                 kept.append(pieces)
                 base += len(level)
                 hits.extend(family.add(level))
-                batch, held = [], 0
+
+            def take() -> None:
+                nonlocal batch, held, loose
+                if batch:
+                    pieces = np.concatenate([p for p, _ in batch])
+                    add(pieces, windows(pieces, np.concatenate([d for _, d in batch]), base))
+                if loose:
+                    entry = np.concatenate([e for _, e in loose])
+                    pieces = np.zeros(len(entry), PIECE)
+                    pieces["chunk"] = np.repeat([c for c, _ in loose], [len(e) for _, e in loose])
+                    pieces["lo"], pieces["n"], pieces["single"] = entry["lo"], 1, entry["single"]
+                    add(pieces, Level(entry["head"], entry["mark"], entry["other"], base + np.arange(len(entry))))
+                batch, loose, held = [], [], 0
 
             for count, chunk, crc, blob in rows:
+                if count == 0:  # settled already
+                    yield _rows([(1, chunk, chunk, crc, blob)])
+                    continue
                 crcs[chunk] = crc
-                pieces = np.frombuffer(blob, PIECE, count)
-                batch.append((pieces, np.frombuffer(blob, np.uint8, offset=count * PIECE.itemsize)))
-                held += int(pieces["n"].sum())
+                if count < 0:
+                    loose.append((chunk, np.frombuffer(blob, ENTRY)))
+                    held -= count
+                else:
+                    pieces = np.frombuffer(blob, PIECE, count)
+                    batch.append((pieces, np.frombuffer(blob, np.uint8, offset=count * PIECE.itemsize)))
+                    held += int(pieces["n"].sum())
                 if held >= SUFFIX_BATCH:
                     take()
-            if batch:
+            if held:
                 take()
+            if not kept:
+                continue
             pieces = np.concatenate(kept)
             hit = np.zeros(base, bool)
             for refs in hits:
@@ -450,10 +573,13 @@ def repeated_strings(docs: DataFrame, key: str, text: str, length: int = 200, te
     slim = docs.select(F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("id"))
     found = slim.select("text").mapInArrow(tidy(_scan(length, buckets)), ROW)
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    found = scratch.table(found, "anchors")
+    hot = hot_anchors(found, buckets)
     # anchors go to their owners; spans settled within a chunk pass through with them, so texts are hashed once
-    owned = scratch.table(by_bucket(found).mapInArrow(tidy(_split(length)), ROW), "settled")
+    owned = scratch.table(by_bucket(found.mapInArrow(tidy(_parted(hot)), ROW)).mapInArrow(tidy(_split(length)), ROW), "settled")
+    scratch.drop(found)
     packed = slim.mapInArrow(tidy(_texts(1)), ROW)
-    asked = owned.where("kind = 2")
+    asked = owned.where("kind in (2, 3)")
     shipped = by_bucket(packed.unionByName(asked)).mapInArrow(tidy(_ship(length, buckets)), ROW)
     matched = scratch.table(shipped.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(tidy(_match(length)), ROW), "matched")
     spans = owned.where("kind = 1").unionByName(matched)
@@ -468,8 +594,8 @@ def _split(length: int):
         def anchors_only():
             for batch in batches:
                 kind = batch.column(0).to_numpy()
-                if (kind == 1).any():
-                    through.append(batch.filter(pa.array(kind == 1)))
+                if (kind != 0).any():
+                    through.append(batch.filter(pa.array(kind != 0)))
                 yield batch.filter(pa.array(kind == 0))
 
         through: list[pa.RecordBatch] = []

@@ -45,6 +45,27 @@ def test_brute_force(spark, length, tmp_path):
     assert got == brute(rows, length)
 
 
+@pytest.mark.parametrize("length", [50, 200])
+def test_hot_anchors_by_brute_force(spark, length, tmp_path, monkeypatch):
+    """Every anchor of more than two contexts is hot; passages of all texts are just shorter than a window, or longer."""
+    monkeypatch.setattr(substrings, "HOT_LEAST", 2)
+    monkeypatch.setattr(substrings, "HOT_SHARE", 10**9)
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    near, whole = text(200)[: length * 4 // 5], text(200)[: length * 3 // 2]
+    ends = [text(20) for _ in range(3)]
+    rows = [(k, text(20) + near + rng.choice([text(20), *ends]) + (whole if k % 3 == 0 else "") + text(20)) for k in range(150)]
+    rows += [(k, whole + whole + near + near) for k in (200, 201)] + [(202, whole[:length] + text(30))]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = docs.select("text").mapInArrow(substrings._scan(length, 4), substrings.ROW)
+    assert len(substrings.hot_anchors(found, 4)) > 0
+    got = sorted((tuple(r) for r in substrings.repeated_strings(docs, "doc_id", "text", length).collect()), key=str)
+    assert got == brute(rows, length)
+
+
 def test_chunks_and_batches_change_nothing(spark, tmp_path, monkeypatch):
     rows = corpus(9, 50)
     path = str(tmp_path / "docs")
@@ -79,7 +100,7 @@ def test_family_finds_repeats_over_all_levels():
     family, hit = substrings.Family(), np.zeros(900, bool)
     for lo in range(0, 900, 37):
         part = slice(lo, lo + 37)
-        for refs in family.add(substrings.Level(head[part], mark[part], np.arange(900)[part])):
+        for refs in family.add(substrings.Level(head[part], mark[part], mark[part] % np.uint64(3), np.arange(900)[part])):
             hit[refs] = True
     seen = Counter(zip(head.tolist(), mark.tolist(), strict=True))
     assert hit.tolist() == [seen[h, m] > 1 for h, m in zip(head.tolist(), mark.tolist(), strict=True)]
