@@ -24,8 +24,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.default_rng(20240607)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-OTHER = 0xD1342543DE82EF95
-OTHER_INVERSE = pow(OTHER, -1, 1 << 64)
 OTHER_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -96,11 +94,11 @@ def prefix_hash(raw: np.ndarray) -> np.ndarray:
 
 
 def second_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans by another polynomial, so that with `span_hash` 128 bits tell spans apart."""
+    """Hashes of byte spans by other values of the bytes, so that with `span_hash` 128 bits tell spans apart."""
     h = np.empty(len(raw) + 1, U)
     h[0] = 0
-    np.cumsum(OTHER_BYTE[raw] * powers(OTHER, len(raw)), out=h[1:])
-    return mix((h[end] - h[start]) * powers(OTHER_INVERSE, len(h))[start] + U(0x94D049BB133111EB))
+    np.cumsum(OTHER_BYTE[raw] * powers(BASE, len(raw)), out=h[1:])
+    return mix((h[end] - h[start]) * powers(INVERSE, len(h))[start] + U(0x94D049BB133111EB))
 
 
 def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

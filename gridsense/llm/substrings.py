@@ -44,6 +44,7 @@ SHIP = np.dtype([("lo", "<u4"), ("n", "<u2"), ("q", "<u2"), ("single", "u1")])
 PIECE = np.dtype([("chunk", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("bytes", "<u2"), ("single", "u1")])
 ENTRY = np.dtype([("head", "<u8"), ("mark", "<u8"), ("other", "<u8"), ("lo", "<u4"), ("single", "u1")])
 SUFFIX_BATCH = 300_000  # windows of a new suffix array
+SHIPPED = 100_000  # windows of hot anchors that are handled at once
 HOT_SHARE = 8  # an anchor with more contexts than this part of a bucket's share is hot: there are few such anchors
 HOT_LEAST = 1000  # but none with fewer contexts
 
@@ -320,6 +321,12 @@ def _ship(length: int, buckets: int):
     half = length // 2
     quarter = (length - half) // 2
 
+    def parts(x: np.ndarray) -> Iterator[np.ndarray]:
+        """Contexts of a bounded number of windows together."""
+        many = np.cumsum(x["n"].astype(np.int64)) // SHIPPED
+        for k in np.unique(many):
+            yield x[many == k]
+
     def windows(raw: np.ndarray, x: np.ndarray, chunk: int, crc: int) -> Iterator[tuple]:
         n = x["n"].astype(np.int64)
         start = _spread(x["lo"].astype(np.int64), n)
@@ -348,8 +355,8 @@ def _ship(length: int, buckets: int):
         for chunk, crc, raw, _, _, _, others in _with_text(batches):
             asked = [np.frombuffer(blob, SHIP) for kind, blob in others if kind == 2]
             hot = [np.frombuffer(blob, SHIP) for kind, blob in others if kind == 3]
-            if hot:
-                yield _rows(list(windows(raw, np.concatenate(hot), chunk, crc)))
+            for x in parts(np.concatenate(hot)) if hot else ():
+                yield _rows(list(windows(raw, x, chunk, crc)))
             if not asked:
                 continue
             x = np.concatenate(asked)
