@@ -29,8 +29,15 @@ PATTERNS = {
     "IPv6 ADDRESS": rf"(?i)\s*(?=[0-9a-f:]*:)(?!.*::.*::)(?!.*:::)(?:(?:{_HEX}:){{7}}{_HEX}|(?=.*::)(?:{_HEX})?(?::{{1,2}}{_HEX}){{0,7}}(?:::)?)\s*",
     "BOOLEAN": r"(?i)\s*(?:true|false|on|off|yes|no)\s*",
 }
-#: length of a national number by country code, for numbers written with a plus sign
-PHONES = {"1": (10, 10), "33": (9, 9), "34": (9, 9), "39": (6, 11), "44": (9, 10), "49": (6, 11), "61": (9, 9), "81": (9, 10), "86": (10, 11), "91": (10, 10)}
+#: Fixed values of the international numbering plan: length of a national number by country code, where it is known;
+#: codes of two digits, and beginnings of codes of three digits, that are assigned. Other national numbers have 6 to 12
+#: digits, and no number has over 15.
+PHONES = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (6, 11), "40": (9, 9), "41": (9, 9), "43": (7, 13), "44": (9, 10), "45": (8, 8),
+    "46": (7, 10), "47": (8, 8), "48": (9, 9), "49": (6, 11), "52": (10, 10), "54": (10, 11), "55": (10, 11), "60": (8, 10), "61": (9, 9), "62": (8, 12), "63": (8, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 10),
+    "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "92": (9, 10), "98": (10, 10), "351": (9, 9), "352": (6, 11), "353": (7, 9), "358": (6, 12), "380": (9, 9), "420": (9, 9), "852": (8, 8), "886": (8, 9), "966": (8, 9), "971": (8, 9), "972": (8, 9),
+}
+OTHER_CODES = "51|53|56|57|58|93|94|95|2[1-69][0-9]|3[578][0-9]|42[1-9]|50[0-9]|59[0-9]|6[7-9][0-9]|85[0-9]|88[0-9]|96[0-9]|97[0-9]|99[0-9]"
 MOST = 70  # longer values are not typed
 
 
@@ -49,11 +56,9 @@ def pattern_labels(c: Column) -> Column:
 
 def phone_labels(c: Column) -> Column:
     bare = F.regexp_replace(c, r"[\s().-]", "")
-    tests = [bare.rlike(rf"^\+{code}[1-9]\d{{{lo - 1},{hi - 1}}}$") for code, (lo, hi) in PHONES.items()]
-    any_ = tests[0]
-    for t in tests[1:]:
-        any_ = any_ | t
-    return _some([(any_ & c.rlike(r"^\s*\+"), "PHONE NUMBER")])
+    known = "|".join(rf"{code}[1-9]\d{{{lo - 1},{hi - 1}}}" for code, (lo, hi) in PHONES.items())
+    other = rf"(?!(?:{'|'.join(PHONES)})\d*$)(?:{OTHER_CODES})[1-9]\d{{5,11}}"
+    return _some([(bare.rlike(rf"^\+(?=\d{{7,15}}$)(?:{known}|{other})$") & c.rlike(r"^\s*\+"), "PHONE NUMBER")])
 
 
 def typable(c: Column) -> Column:

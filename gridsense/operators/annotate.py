@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import textual_similarity
-from ..functions.values import date_score, flip, float_parse, number_similarity, period_score, punctuation_kinds, sigmoid_weight
+from ..functions.units import quantities
+from ..functions.values import date_score, flip, number_similarity, period_score, punctuation_kinds, sigmoid_weight
 from ..model import ENTITY_LABELS, PLAIN_NUMBERS, UNIT_LABELS, AnnotateConfig
 from ..sources.shared import table as stored
 from . import graph
@@ -84,21 +85,20 @@ def entity_pairs(cand: DataFrame, edges: DataFrame, degree: DataFrame, transitiv
 
 
 def literal_matches(cand: DataFrame, cells: DataFrame, kinds: DataFrame, edges: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    """(candidate, ctx_col, mention, pid, ord, kind, match): literal edges of candidates that fit a cell of their row."""
+    """(candidate, ctx_col, mention, pid, ord, kind, match): literal edges of candidates that fit a cell of their row.
+    Without `units` no quantity fits."""
     lits = cells.join(kinds.where("kind in ('date', 'with_unit', 'text')"), ["table_id", "col_idx"]).select("table_id", "row_idx", F.col("col_idx").alias("ctx_col"), F.col("value").alias("mention"), "kind")
     e = edges.where(~graph.is_entity(F.col("tag")) & ~F.col("backward")).select(F.col("subject").alias("entity"), "pid", F.col("object").alias("literal"), "tag", "ord")
     e = e.withColumn("lk", F.when(F.col("tag").startswith("DateTime"), "date").when(F.col("tag").startswith("String"), "text").when(F.col("tag").startswith("Quantity"), "with_unit"))
     pair = cand.select(*CAND).join(e, "entity").join(lits, (cand["table_id"] == lits["table_id"]) & (cand["row_idx"] == lits["row_idx"]) & (F.col("lk") == F.col("kind")) & (F.col("ctx_col") >= F.col("col_idx"))).drop(lits["table_id"]).drop(lits["row_idx"])
     date = F.when(F.col("tag") == "DateTime-Period", period_score(F.col("literal"), F.col("mention"))).otherwise(date_score(F.col("mention"), F.col("literal")))
-    number = float_parse(F.regexp_extract("mention", r"([+-]?\d[\d,]*\.?\d*)", 1))
-    sign = F.lower(F.trim(F.regexp_replace("mention", r"[\d,.+\-\s]", "")))
     if units is not None:
-        dim = units.select(F.col("name").alias("u_name"), F.lower("symbol").alias("u_symbol"), "base_unit", "factor")
-        # units are a small dimension table
-        m = pair.join(F.broadcast(dim.select("u_symbol", F.col("base_unit").alias("mb"), F.col("factor").alias("mf"))), sign == F.col("u_symbol"), "left").drop("u_symbol")
-        m = m.join(F.broadcast(dim.select("u_name", F.col("base_unit").alias("lb"), F.col("factor").alias("lf"))), F.regexp_replace("tag", "^Quantity-", "") == F.col("u_name"), "left").drop("u_name")
-        near = number_similarity(number * F.col("mf"), F.col("literal").try_cast("double") * F.col("lf"))
-        quantity = F.when(F.col("mb") == F.col("lb"), near)
+        # a cell must hold one measure of one base unit; units are a small dimension table
+        found = quantities(lits.where("kind = 'with_unit'").select(F.col("mention").alias("value")), units)
+        one = found.groupBy(F.col("value").alias("mention")).agg(F.count("*").alias("measures"), F.min("base_unit").alias("mb"), F.min("amount").alias("amount")).where("measures = 1").drop("measures")
+        dim = units.select(F.col("name").alias("u_name"), F.col("base_unit").alias("lb"), F.col("factor").alias("lf"))
+        m = pair.join(one, "mention", "left").join(F.broadcast(dim), F.regexp_replace("tag", "^Quantity-", "") == F.col("u_name"), "left").drop("u_name")
+        quantity = F.when(F.col("mb") == F.col("lb"), number_similarity(F.col("amount"), F.col("literal").try_cast("double") * F.col("lf")))
         dollar = F.col("lb") == "dollar"
     else:
         m, quantity, dollar = pair, F.lit(None).cast("double"), F.lit(False)

@@ -395,7 +395,7 @@ def annotated(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     kinds = stored(annotate.demote(body, kinds, ranked), "kinds")
     e = _edges(spark, sf)
     types = stored(graph.types_by_level(ranked, e), "types")
-    return annotate.annotate(body, kinds, ranked, e, types, graph.supertypes(e), stored(graph.type_neighbours(types, e), "neighbours"))
+    return annotate.annotate(body, kinds, ranked, e, types, graph.supertypes(e), stored(graph.type_neighbours(types, e), "neighbours"), views.units(spark))
 
 
 @query(twins.CEA)
