@@ -16,6 +16,7 @@ from ..functions.similarity import textual_similarity
 from ..functions.units import quantities
 from ..functions.values import date_score, flip, number_similarity, period_score, punctuation_kinds, sigmoid_weight
 from ..model import ENTITY_LABELS, PLAIN_NUMBERS, UNIT_LABELS, AnnotateConfig
+from ..sources.shared import once
 from ..sources.shared import table as stored
 from . import graph
 
@@ -276,7 +277,9 @@ def unrelated_pairs(kinds: DataFrame, relations: DataFrame) -> DataFrame:
 def annotate(cells: DataFrame, kinds: DataFrame, ranked: DataFrame, edges: DataFrame, types: DataFrame, supertypes: DataFrame, neighbours: DataFrame, units: DataFrame | None = None, config: AnnotateConfig | None = None, transitive: list[str] | None = None) -> dict[str, DataFrame]:
     """The whole annotation: {'cea', 'cta', 'cpa'} of the last round."""
     c = config or AnnotateConfig()
-    degree = graph.degrees(edges)
+    # all rounds read these
+    cells, kinds, edges, types, supertypes, neighbours = (once(df, name) for df, name in ((cells, "cells"), (kinds, "kinds"), (edges, "edges"), (types, "types"), (supertypes, "supertypes"), (neighbours, "neighbours")))
+    degree = stored(graph.degrees(edges), "degree")
     n_rows = cells.groupBy("table_id").agg(F.count_distinct("row_idx").cast("double").alias("n"))
     cand = stored(candidates(cells, kinds, ranked, c.top_k), "candidates")
     ctx = context(cand, cells, kinds, edges, degree, units, transitive)

@@ -49,6 +49,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a written table; as it is if it is one."""
+    return df if getattr(df, "_scratch_path", None) else table(df, name)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by `table` once nothing lazy reads it any more."""
     path = getattr(df, "_scratch_path", None)
