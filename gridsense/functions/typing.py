@@ -15,16 +15,23 @@ from pyspark.sql import functions as F
 from ..model import CONCEPTS
 from .values import string_type
 
-_NUM = r"\d+[.,]?\d*"
-_OPEN, _CLOSE = r"[\s\[{(]*", r"[\s\])}]*"
+# a small grammar of numbers: digits and a decimal part after a point or comma; a sign; a vulgar fraction
+NUMBER = r"\d+(?:[.,]\d*)?"
+SIGNED = rf"[+-]?{NUMBER}"
+FRACTION = r"[+-]?\d*[⅐-⅞¼-¾]"
+SHARE = rf"(?:{NUMBER}|[.]\d+)\s*%"
+# an interval: two numbers parted by dashes, in brackets or not, or by commas, with a bracket at one end at least
+OPENS, CLOSES = r"(?:\s*[\[{(])", r"(?:\s*[\])}])"
+DASHED, LISTED = rf"\s*{NUMBER}\s*[-–]+\s*{NUMBER}", rf"\s*{NUMBER}\s*,+\s*{NUMBER}"
+INTERVAL = "|".join([f"{OPENS}*{DASHED}{CLOSES}*", f"{OPENS}+{LISTED}{CLOSES}*", f"{OPENS}*{LISTED}{CLOSES}+"])
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d|0\d{1,2})"
 _HEX = r"[0-9a-f]{1,4}"
 
 #: label -> pattern that must match a whole value
 PATTERNS = {
-    "RANGE": rf"(?U)(?:{_OPEN}{_NUM}\s*(?:-+|–+)\s*{_NUM}{_CLOSE}|[\[{{(]+\s*{_NUM}\s*,+\s*{_NUM}{_CLOSE}|{_OPEN}{_NUM}\s*,+\s*{_NUM}\s*[\])}}]+)",
-    "CARDINAL": rf"(?U)\s*[+,-]?(?:{_NUM}|\d*[⅐-⅞¼-¾])\s*",
-    "PERCENT": r"(?U)\s*\d*(?:\.\d+)?\s*%\s*",
+    "RANGE": rf"(?U)(?:{INTERVAL})\s*",
+    "CARDINAL": rf"(?U)\s*(?:{SIGNED}|{FRACTION})\s*",
+    "PERCENT": rf"(?U)\s*{SHARE}\s*",
     "IP ADDRESS": rf"{_OCTET}(?:\.{_OCTET}){{3}}",
     "IPv6 ADDRESS": rf"(?i)\s*(?=[0-9a-f:]*:)(?!.*::.*::)(?!.*:::)(?:(?:{_HEX}:){{7}}{_HEX}|(?=.*::)(?:{_HEX})?(?::{{1,2}}{_HEX}){{0,7}}(?:::)?)\s*",
     "BOOLEAN": r"(?i)\s*(?:true|false|on|off|yes|no)\s*",

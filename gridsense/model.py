@@ -55,7 +55,7 @@ CURRENCIES = {
 
 @dataclass(frozen=True)
 class LookupConfig:
-    """Tunables of the lookup."""
+    """Tunables of the lookup. The defaults are fixed values: results depend on them."""
 
     ratio_min: float = 0.70
     ratio_gap: float = 0.25
@@ -77,7 +77,7 @@ class LookupConfig:
 
 @dataclass(frozen=True)
 class AnnotateConfig:
-    """Tunables of the annotation."""
+    """Tunables of the annotation. The defaults are fixed values: results depend on them."""
 
     top_k: int = 20
     entity_weight: float = 1.0

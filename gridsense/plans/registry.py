@@ -98,8 +98,8 @@ _LABELS = rf"""list_filter([
   CASE WHEN regexp_full_match(value, '\+44[1-9][0-9]{{8,9}}') THEN 'PHONE NUMBER' END,
   CASE WHEN regexp_full_match(value, '[0-9]+') AND try_cast(value AS BIGINT) BETWEEN 1000 AND 2022 THEN 'DATE' END,
   CASE WHEN regexp_full_match(value, '[0-9]+[.,]?[0-9]*-+[0-9]+[.,]?[0-9]*') OR regexp_full_match(value, '\([0-9]+[.,]?[0-9]*,+[0-9]+[.,]?[0-9]*\)') THEN 'RANGE' END,
-  CASE WHEN regexp_full_match(value, '[+,-]?[0-9]+[.,]?[0-9]*') THEN 'CARDINAL' END,
-  CASE WHEN regexp_full_match(value, '[0-9]*(\.[0-9]+)?%') THEN 'PERCENT' END,
+  CASE WHEN regexp_full_match(value, '[+-]?[0-9]+[.,]?[0-9]*') THEN 'CARDINAL' END,
+  CASE WHEN regexp_full_match(value, '([0-9]+[.,]?[0-9]*|\.[0-9]+)%') THEN 'PERCENT' END,
   CASE WHEN regexp_full_match(value, '{_OCT}\.{_OCT}\.{_OCT}\.{_OCT}') THEN 'IP ADDRESS' END,
   CASE WHEN regexp_full_match(lower(value), 'true|false|on|off|yes|no') THEN 'BOOLEAN' END], lambda x: x IS NOT NULL)"""
 

@@ -234,7 +234,7 @@ ORIENTATION = f"{_MIXED} SELECT table_id, orientation, round(score, 2) AS score
 HEADER = f"""{_MIXED}, met AS (SELECT h.table_id, h.col_idx, o, v.score, v.rank, v.label = h.label AS inside, h.label <> 'UNKNOWN' AS trusted FROM turned h JOIN votes v USING (table_id, col_idx) WHERE h.row_idx = 0)
 SELECT table_id, max(score) FILTER (trusted AND inside AND rank = 1 AND score > 0.2) IS NULL AS has_header, round(coalesce(max(score) FILTER (trusted AND inside AND rank = 1 AND score > 0.2), coalesce(sum(score) FILTER (NOT inside), 0) / count(DISTINCT col_idx)) * any_value(o), 2) AS score FROM met GROUP BY table_id"""
 KEY = f"""{_MIXED}, text_ AS (SELECT table_id, col_idx, avg(CASE WHEN dtype LIKE 'String%' THEN 1.0 ELSE 0.0 END) AS text_, row_number() OVER (PARTITION BY table_id ORDER BY col_idx) AS k FROM turned WHERE row_idx > 0 GROUP BY table_id, col_idx),
-counts AS (SELECT table_id, col_idx, any_value(o) AS o, any_value(n_cols) AS n_cols, count(*) AS n, count(DISTINCT value) FILTER (dtype LIKE 'String%' AND length(regexp_replace(value, '[^0-9A-Za-z, ;"]', '', 'g')) BETWEEN 4 AND 199) AS u FROM turned GROUP BY table_id, col_idx),
+counts AS (SELECT table_id, col_idx, any_value(o) AS o, any_value(n_cols) AS n_cols, count(*) AS n, count(DISTINCT value) FILTER (dtype LIKE 'String%' AND length(regexp_replace(value, '[^0-9A-Za-z ]', '', 'g')) BETWEEN 4 AND 199) AS u FROM turned GROUP BY table_id, col_idx),
 some_ AS (SELECT *, min(CASE WHEN text_ > 0.5 THEN col_idx END) OVER (PARTITION BY table_id) AS first_ FROM text_ JOIN counts USING (table_id, col_idx) WHERE k <= CASE WHEN n_cols > 8 THEN 4 ELSE 3 END),
 rated AS (SELECT *, CASE WHEN text_ > 0.5 AND u > 0 THEN u / CAST(n AS DOUBLE) / sqrt(1 + 2 * (col_idx - first_)) ELSE 0 END AS s FROM some_),
 best AS (SELECT *, lead(s) OVER by_ AS next FROM rated WINDOW by_ AS (PARTITION BY table_id ORDER BY s DESC, col_idx) QUALIFY row_number() OVER by_ = 1)

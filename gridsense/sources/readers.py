@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -64,13 +66,46 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def parse_workbook(raw: bytes) -> list[dict[tuple[int, int], str]]:
-    """The filled cells of each sheet of an .xlsx file; merged ranges hold their first cell's value throughout."""
+# Fixed values of the file format: number formats built in that show a day
+_DAYS = {*range(14, 18), 22, *range(27, 32), *range(34, 37), *range(50, 59)}
+
+
+def _styles(raw: bytes | None) -> list[tuple[bool, bool]]:
+    """(shows a day, is filled or has a border at its left or right) of each cell format of a workbook."""
+    if raw is None:
+        return []
+    root = ET.fromstring(raw)
+    day = set(_DAYS)
+    for x in root.iter(_X + "numFmt"):
+        bare = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", x.get("formatCode", "")).lower()
+        if "d" in bare or "y" in bare:
+            day.add(int(x.get("numFmtId", "-1")))
+    children = lambda name: list(root.find(_X + name) if root.find(_X + name) is not None else [])
+    fills = [any(p.get("patternType", "none") != "none" for p in x.iter(_X + "patternFill")) for x in children("fills")]
+    edges = [any((e := x.find(_X + side)) is not None and e.get("style", "none") != "none" for side in ("left", "right")) for x in children("borders")]
+    at = lambda flags, k: 0 <= k < len(flags) and flags[k]
+    return [(int(x.get("numFmtId", "0")) in day, at(fills, int(x.get("fillId", "-1"))) or at(edges, int(x.get("borderId", "-1")))) for x in children("cellXfs")]
+
+
+def _day(serial: str, first: datetime) -> str:
+    """The day of a serial number, as text; the number itself if it is none."""
+    try:
+        return (first + timedelta(days=float(serial))).strftime("%m/%d/%Y")
+    except (ValueError, OverflowError):
+        return serial
+
+
+def parse_workbook(raw: bytes, styled: bool = False) -> list[dict[tuple[int, int], str]]:
+    """The filled cells of each sheet of an .xlsx file; merged ranges hold their first cell's value throughout, dates
+    are texts. With `styled`, empty cells with a colour or a border at a side count as filled with ''."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(_X + "t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
+        styles = _styles(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
+        late = "xl/workbook.xml" in names and any(x.get("date1904") in ("1", "true") for x in ET.fromstring(z.read("xl/workbook.xml")).iter(_X + "workbookPr"))
+        first = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
         out = []
         for name in sorted(n for n in names if n.startswith("xl/worksheets/sheet")):
             root, grid = ET.fromstring(z.read(name)), {}
@@ -78,9 +113,13 @@ def parse_workbook(raw: bytes) -> list[dict[tuple[int, int], str]]:
                 ref = c.get("r", "A1")
                 v = c.find(_X + "v")
                 text = "".join(t.text or "" for t in c.iter(_X + "t")) if c.get("t") == "inlineStr" else (v.text or "" if v is not None else "")
+                style = int(c.get("s", "-1"))
+                day, seen = styles[style] if 0 <= style < len(styles) else (False, False)
                 if c.get("t") == "s" and text:
                     text = shared[int(text)]
-                if text != "":
+                elif day and text and c.get("t", "n") == "n":
+                    text = _day(text, first)
+                if text != "" or (styled and seen):
                     grid[int("".join(filter(str.isdigit, ref))) - 1, _column(ref)] = text
             for m in root.iter(_X + "mergeCell"):
                 a, _, b = m.get("ref", "A1").partition(":")
@@ -138,7 +177,7 @@ def parse_file(path: str, raw: bytes, split: str = "blank") -> list[tuple[str, l
         return [(path, rows)] if rows else []
     if kind == "xlsx":
         try:
-            sheets = parse_workbook(raw)
+            sheets = parse_workbook(raw, split == "region")
         except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError):
             return []
         cut = region_tables if split == "region" else blank_line_tables

@@ -30,6 +30,19 @@ def test_files(spark, tmp_path):
     assert got == {"a.csv": [["name", "land"], ["Café Zoé à la carte", "x;y"]], "b.tsv": [["p", "q"], ["1", "2"]], "c.xlsx#0.0": [["h", "i"], ["1", "2"]], "c.xlsx#0.1": [["u"], ["v", "v"]]}
 
 
+def test_dates_and_colours_of_sheets():
+    x = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    styles = f'<styleSheet {x}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/><numFmt numFmtId="171" formatCode="0.00&quot;d&quot;"/></numFmts><fills><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="solid"/></fill></fills><borders><border/><border><left style="thin"/></border></borders><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="0" fillId="1"/><xf numFmtId="0" borderId="1"/></cellXfs></styleSheet>'
+    cells = [("A1", 1, "43831"), ("B1", 2, "43831.5"), ("A2", 3, "2.5"), ("B2", 0, "43831"), ("C1", 4, None), ("C2", 5, None), ("D1", 0, None)]
+    body = "".join(f'<c r="{r}" s="{s}">' + (f"<v>{v}</v>" if v else "") + "</c>" for r, s, v in cells)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {x}><sheetData><row>{body}</row></sheetData></worksheet>")
+        z.writestr("xl/styles.xml", styles)
+    assert readers.parse_workbook(out.getvalue()) == [{(0, 0): "01/01/2020", (0, 1): "01/01/2020", (1, 0): "2.5", (1, 1): "43831"}]
+    assert readers.region_tables(readers.parse_workbook(out.getvalue(), True)[0]) == [[["01/01/2020", "01/01/2020", ""], ["2.5", "43831", ""]]]
+
+
 def test_regions():
     grid = {(0, 0): "a", (0, 1): "b", (1, 0): "c", (5, 5): "lone", (8, 2): "x", (8, 3): "y", (9, 3): "z"}
     assert readers.region_tables(grid) == [[["a", "b"], ["c", ""]], [["x", "y"], ["", "z"]]]
