@@ -127,7 +127,7 @@ def paths(pairs: DataFrame, edges: DataFrame, degree: DataFrame, transitive: lis
     direct = _direct(distinct, mine)
     rest = distinct.join(direct.select("head", "tail").distinct(), ["head", "tail"], "left_anti")
     hops = two_hop(rest, mine, degree, transitive)
-    each = hops.groupBy("head", "tail", "path").agg(F.min("prox").alias("prox"), F.max("prox").alias("most"))
+    each = stored(hops.groupBy("head", "tail", "path").agg(F.min("prox").alias("prox"), F.max("prox").alias("most")), "hops")
     best = each.groupBy("head", "tail").agg(F.max("most").alias("best"))
     return direct.withColumn("best", F.lit(1.0)).unionByName(each.drop("most").join(best, ["head", "tail"]))
 
