@@ -71,6 +71,25 @@ def test_large_groups_are_cut_and_lose_no_link(spark, monkeypatch):
     assert got == brute(rows, 3, 85, 100)
 
 
+def test_pairs_within_a_crowd(spark):
+    """Texts that share half of their words fill common regions; of pairs of 0.85 and more among them none is lost."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(70)]
+    rows, k = [], 0
+    while k < 1200:
+        words = common + [f"w{rng.randrange(10**6)}" for _ in range(12)]
+        rows.append((k, " ".join(words)))
+        if k % 5 == 0:
+            words[70 + rng.randrange(12)] = f"x{k}"
+            rows.append((k + 1, " ".join(words)))
+            k += 1
+        k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in neardup.near_duplicates(docs, "doc_id", "text", 3, (85, 100)).collect())
+    want = brute(rows, 3, 85, 100)
+    assert sum(not r[3] for r in want) >= 190 and got == want
+
+
 def test_keys(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (3, "a b c d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
