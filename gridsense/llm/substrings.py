@@ -114,8 +114,9 @@ def _chunks(column: pa.Array):
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def _scan(length: int, buckets: int):
-    """kind 0: anchors for their owner; kind 1: spans of windows that are repeated within the chunk."""
+def _scan(length: int, buckets: int, hot: np.ndarray):
+    """kind 0: anchors for their owner; kind 1: spans of windows that are repeated within the chunk; kind 3: contexts of
+    hot anchors, which have no owner and go to their chunk to be shipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = 0
@@ -131,6 +132,15 @@ def _scan(length: int, buckets: int):
                 if len(own):
                     rows.append((1, chunk, chunk, crc, _spans(own, length).tobytes()))
                 sent = found[np.sort(first)]
+                if len(hot):
+                    is_hot = hot[np.minimum(np.searchsorted(hot, sent["a"]), len(hot) - 1)] == sent["a"]
+                    if is_hot.any():
+                        ship = np.zeros(int(is_hot.sum()), SHIP)
+                        for k in ("lo", "n", "q"):
+                            ship[k] = sent[k][is_hot]
+                        ship["single"] = sent["twice"][is_hot] == 0
+                        rows.append((3, chunk, chunk, crc, ship.tobytes()))
+                    sent = sent[~is_hot]
                 rows += [(0, b, chunk, crc, x.tobytes()) for b, x in _by(sent, sent["a"] % U(buckets))]
                 yield _rows(rows)
 
@@ -169,37 +179,40 @@ def _grouped(batches: Iterator[pa.RecordBatch]):
         yield at, rows
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(length: int):
     """(a, n): anchors of which a task has several contexts, with their number; a null anchor has the number of all."""
-    held, total = [], 0
 
     def summed(parts):
         a = np.concatenate([x for x, _ in parts])
         have, inv = np.unique(a, return_inverse=True)
         return have, np.bincount(inv, np.concatenate([n for _, n in parts]), len(have)).astype(np.int64)
 
-    for batch in batches:
-        kind = batch.column(0).to_numpy()
-        for blob in batch.column(4).filter(pa.array(kind == 0)).to_pylist():
-            a = np.frombuffer(blob, ANCHOR)["a"]
-            total += len(a)
-            held.append((a, np.ones(len(a), np.int64)))
-        if sum(len(a) for a, _ in held) > 2_000_000:
-            held = [summed(held)]
-            # what is rare so far may still come often, but then it is not rare in the rest
-            if len(held[0][0]) > 1_000_000:
-                often = held[0][1] > 1
-                held = [(held[0][0][often], held[0][1][often])]
-    a, n = summed(held) if held else (np.zeros(0, U), np.zeros(0, np.int64))
-    often = n > 1
-    none = pa.array([None], pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a[often].view(np.int64)), none]), pa.array(np.append(n[often], total))], ["a", "n"])
-
-
-def hot_anchors(found: DataFrame, buckets: int) -> np.ndarray:
-    """Anchors with too many contexts for one owner; at most HOT_SHARE times `buckets`."""
-    sums = found.select("*").mapInArrow(tidy(_repeated), "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-    sums = scratch.table(sums, "repeated")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for _, _, raw, offsets in _chunks(batch.column(0)):
+                found = anchors(raw, offsets, length)
+                a = found["a"][_pairs(found)[1]]
+                total += len(a)
+                held.append((a, np.ones(len(a), np.int64)))
+            if sum(len(a) for a, _ in held) > 1_000_000:
+                held = [summed(held)]
+                # what is rare so far may still come often, but then it is not rare in the rest
+                if len(held[0][0]) > 500_000:
+                    often = held[0][1] > 1
+                    held = [(held[0][0][often], held[0][1][often])]
+        a, n = summed(held) if held else (np.zeros(0, U), np.zeros(0, np.int64))
+        often = n > 1
+        none = pa.array([None], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a[often].view(np.int64)), none]), pa.array(np.append(n[often], total))], ["a", "n"])
+
+    return run
+
+
+def hot_anchors(texts: DataFrame, length: int, buckets: int) -> np.ndarray:
+    """Anchors with too many contexts for one owner; at most HOT_SHARE times `buckets`. Texts are hashed once more for
+    it, as writing all anchors would take more memory and disk than that takes time."""
+    sums = scratch.table(texts.mapInArrow(tidy(_repeated(length)), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")), "repeated")
     total = sums.where("a is null").first()
     least = max(HOT_LEAST, (total["n"] if total else 0) // (HOT_SHARE * buckets))
     rows = sums.where((F.col("n") > least) & F.col("a").isNotNull()).select("a").collect()
@@ -207,36 +220,6 @@ def hot_anchors(found: DataFrame, buckets: int) -> np.ndarray:
     return np.sort(np.array([r["a"] for r in rows], np.int64).view(U))
 
 
-def _parted(hot: np.ndarray):
-    """Anchors' rows without the hot ones, whose contexts go straight to their chunk to be shipped (kind 3)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(hot):
-                yield batch
-                continue
-            out = []
-            for kind, bucket, chunk, crc, blob in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if kind != 0:
-                    out.append((kind, bucket, chunk, crc, blob))
-                    continue
-                x = np.frombuffer(blob, ANCHOR)
-                at = np.minimum(np.searchsorted(hot, x["a"]), len(hot) - 1)
-                is_hot = hot[at] == x["a"]
-                if (~is_hot).any():
-                    out.append((0, bucket, chunk, crc, x[~is_hot].tobytes()))
-                if is_hot.any():
-                    some = x[is_hot]
-                    ship = np.zeros(len(some), SHIP)
-                    for k in ("lo", "n", "q"):
-                        ship[k] = some[k]
-                    ship["single"] = some["twice"] == 0
-                    out.append((3, chunk, chunk, crc, ship.tobytes()))
-            yield _rows(out)
-
-    return run
-
-
 def _own(length: int):
     """Of an owner's anchors, for each chunk: kind 1, spans of contexts found twice; kind 2, contexts to ship."""
 
@@ -578,13 +561,11 @@ def repeated_strings(docs: DataFrame, key: str, text: str, length: int = 200, te
     scratch.small_batches(spark)
     buckets = 2 * scratch.partitions(spark)
     slim = docs.select(F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("id"))
-    found = slim.select("text").mapInArrow(tidy(_scan(length, buckets)), ROW)
+    hot = hot_anchors(slim.select("text"), length, buckets)
+    found = slim.select("text").mapInArrow(tidy(_scan(length, buckets, hot)), ROW)
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "kind")
-    found = scratch.table(found, "anchors")
-    hot = hot_anchors(found, buckets)
     # anchors go to their owners; spans settled within a chunk pass through with them, so texts are hashed once
-    owned = scratch.table(by_bucket(found.mapInArrow(tidy(_parted(hot)), ROW)).mapInArrow(tidy(_split(length)), ROW), "settled")
-    scratch.drop(found)
+    owned = scratch.table(by_bucket(found).mapInArrow(tidy(_split(length)), ROW), "settled")
     packed = slim.mapInArrow(tidy(_texts(1)), ROW)
     asked = owned.where("kind in (2, 3)")
     shipped = by_bucket(packed.unionByName(asked)).mapInArrow(tidy(_ship(length, buckets)), ROW)

@@ -60,8 +60,7 @@ def test_hot_anchors_by_brute_force(spark, length, tmp_path, monkeypatch):
     path = str(tmp_path / "docs")
     spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
     docs = spark.read.parquet(path)
-    found = docs.select("text").mapInArrow(substrings._scan(length, 4), substrings.ROW)
-    assert len(substrings.hot_anchors(found, 4)) > 0
+    assert len(substrings.hot_anchors(docs.select("text"), length, 4)) > 0
     got = sorted((tuple(r) for r in substrings.repeated_strings(docs, "doc_id", "text", length).collect()), key=str)
     assert got == brute(rows, length)
 
