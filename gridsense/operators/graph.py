@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import flip, popularity
 from ..model import DIFFERENT_FROM, INSTANCE_OF, SUBCLASS_OF, TRANSITIVE, TYPE_PROPERTIES
+from ..sources.shared import plain_unions
 from ..sources.shared import table as stored
 
 STATEMENT_TAGS = ["NORMAL", "PREFERRED", "DEPRECATED"]
@@ -120,6 +121,7 @@ def two_hop(pairs: DataFrame, mine: DataFrame, degree: DataFrame, transitive: li
 def paths(pairs: DataFrame, edges: DataFrame, degree: DataFrame, transitive: list[str] | None = None) -> DataFrame:
     """(head, tail, path, prox, best): direct links, or else two-hop ones with the least proximity of each path; `best`
     is the largest proximity over all of a pair's links."""
+    plain_unions(edges.sparkSession)
     distinct = stored(pairs.select("head", "tail").distinct(), "pairs")
     ends = distinct.select(F.col("head").alias("s")).union(distinct.select(F.col("tail").alias("s"))).distinct()
     # the graph is read once; what follows needs the edges of the ends only

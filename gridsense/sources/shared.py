@@ -47,7 +47,6 @@ def plain_unions(spark: SparkSession) -> None:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
-    plain_unions(spark)
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
