@@ -64,6 +64,23 @@ def test_frequent_tokens_are_keys_beside_rarer_ones(spark, monkeypatch):
     assert len({round(v, 9) for (m, e), v in got.items() if (m, e) != ("supplier 3333", "S3")}) == 1 and got["supplier 3333", "S3"] > got["supplier 3333", "S4"]
 
 
+def test_no_hit_is_cut_unless_asked(spark):
+    rows = [(f"S{k}", 0.0, [f"supplier {k}"], None, None) for k in range(10_020)]
+    mention = spark.createDataFrame([("supplier 77",)], "mention string")
+    found = index(spark, rows)
+    assert lookup.hits(mention, found).count() == 10_020
+    assert lookup.hits(mention, found, lookup.LookupConfig(max_hits=10_000)).count() == 10_000
+
+
+def test_long_labels_find_what_edit_distance_finds(spark):
+    base = "the very long name of a company"
+    words = [base[:k] for k in (20, 21, 22, 23, 24, 25, 26, 27, 28)] + [base, base[1:], base[2:], base.replace("very", "vary"), base[:9] + base[10:24], base + "ies", "x" + base[:24], "xy" + base[:24]]
+    df = spark.createDataFrame([(w,) for w in words], "text string")
+    found = lookup.whole_matches(df.withColumnRenamed("text", "mention"), df).collect()
+    pairs = df.select(F.col("text").alias("a")).crossJoin(df.select(F.col("text").alias("b"))).where(F.levenshtein("a", "b") <= lookup.edits(F.col("a"))).collect()
+    assert {(r.mention, r.text) for r in found} == {(r.a, r.b) for r in pairs} and len(found) == len(pairs)
+
+
 EDGES = [("A", "P1", False, "B", "NORMAL", 0), ("C", "P2", False, "H", "NORMAL", 0), ("D", "P3", False, "H", "PREFERRED", 0), ("E", "P361", False, "H", "NORMAL", 0), ("H", "P361", False, "F", "NORMAL", 0), ("A", "P585", False, "1994", "DateTime-Year", 0), ("T1", "P279", False, "T2", "NORMAL", 0), ("T2", "P279", False, "T3", "NORMAL", 0), ("A", "P31", False, "T1", "NORMAL", 0), ("B", "P31", False, "T1", "NORMAL", 0), ("B", "P106", False, "T2", "NORMAL", 0)]
 
 
