@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gridsense.operators import graph, lookup
@@ -81,6 +82,38 @@ def test_long_labels_find_what_edit_distance_finds(spark):
     assert {(r.mention, r.text) for r in found} == {(r.a, r.b) for r in pairs} and len(found) == len(pairs)
 
 
+def _plain(mentions, index, c):
+    """Ranks from pairs that are all joined, rated and kept as rows."""
+    form = lookup.forms(index)
+    found = lookup.form_hits(mentions, form, c).join(index.select(lookup.form_id(), "entity", "pr"), "form_id")
+    return lookup.score(found, c)
+
+
+NAMES = [(f"S{k}", float(k % 3), [f"Supplier {k * 37 % 100:03} {'north' if k % 4 else 'south'}"], [f"sup {k % 5}"], ["supplier"] if k % 7 else []) for k in range(60)] + [("N1", 4.0, ["North"], None, ["north"]), ("N2", 0.0, ["Newyork"], [], None)]
+ASKED = [("supplier 037 north",), ("suplier 074 south",), ("north",), ("new york",), ("sup 3",), ("zzz",)]
+
+
+@pytest.mark.parametrize(("part", "top_k"), [(1 << 17, 3), (40, None)])
+def test_cells_rank_as_rows_do(spark, monkeypatch, part, top_k):
+    monkeypatch.setattr(lookup, "PART", part)
+    monkeypatch.setattr(lookup.meet, "HITS", 50)
+    found, mentions = index(spark, NAMES), spark.createDataFrame(ASKED, "mention string")
+    rows = lambda df: sorted((r.mention, r.entity, r.label, r.origin, round(r.ratio, 9), r.partial, round(r.score, 8), r["rank"]) for r in df.collect())
+    plain = _plain(mentions, found, lookup.LookupConfig())
+    got = rows(lookup.lookup(mentions, found, top_k))
+    assert got == rows(plain.where(F.col("rank") <= top_k) if top_k else plain) and len({r[0] for r in got}) == 5
+
+
+def test_pairs_do_not_leave_their_cell(spark):
+    """Only what may be ranked is given on, however many labels share a word."""
+    found = index(spark, [(f"S{k}", 0.0, [f"supplier {k:04}"], None, None) for k in range(2000)])
+    mentions = spark.createDataFrame([(f"supplier {k * 50:04}",) for k in range(20)], "mention string")
+    shared, _ = lookup.classes(found)
+    cells, parts = lookup._cells(mentions, lookup.forms(found), lookup.LookupConfig(), shared)
+    left = cells.mapInArrow(lookup.meet.rated(lookup.LookupConfig(), 0.75, 3, parts == 1), "mention string, key long, label string, origin string, ratio double, partial boolean, bm25 double, pr double, score double")
+    assert left.count() < 20 * 60
+
+
 EDGES = [("A", "P1", False, "B", "NORMAL", 0), ("C", "P2", False, "H", "NORMAL", 0), ("D", "P3", False, "H", "PREFERRED", 0), ("E", "P361", False, "H", "NORMAL", 0), ("H", "P361", False, "F", "NORMAL", 0), ("A", "P585", False, "1994", "DateTime-Year", 0), ("T1", "P279", False, "T2", "NORMAL", 0), ("T2", "P279", False, "T3", "NORMAL", 0), ("A", "P31", False, "T1", "NORMAL", 0), ("B", "P31", False, "T1", "NORMAL", 0), ("B", "P106", False, "T2", "NORMAL", 0)]
 
 
