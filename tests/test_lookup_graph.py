@@ -104,6 +104,15 @@ def test_cells_rank_as_rows_do(spark, monkeypatch, part, top_k):
     assert got == rows(plain.where(F.col("rank") <= top_k) if top_k else plain) and len({r[0] for r in got}) == 5
 
 
+def test_capped_hits_are_the_best_of_all(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "PART", 40)
+    found, mentions = index(spark, NAMES), spark.createDataFrame(ASKED, "mention string")
+    every = lookup.hits(mentions, found).collect()
+    want = [x for (m,) in ASKED for x in sorted((m, -round(r.bm25, 9), r.entity, r.label, r.origin) for r in every if r.mention == m)[:4]]
+    got = lookup.hits(mentions, found, lookup.LookupConfig(max_hits=4)).collect()
+    assert sorted((r.mention, -round(r.bm25, 9), r.entity, r.label, r.origin) for r in got) == sorted(want)
+
+
 def test_pairs_do_not_leave_their_cell(spark):
     """Only what may be ranked is given on, however many labels share a word."""
     found = index(spark, [(f"S{k}", 0.0, [f"supplier {k:04}"], None, None) for k in range(2000)])
