@@ -16,7 +16,7 @@ from ..functions.similarity import textual_similarity
 from ..functions.units import quantities
 from ..functions.values import date_score, flip, number_similarity, period_score, punctuation_kinds, sigmoid_weight
 from ..model import ENTITY_LABELS, PLAIN_NUMBERS, UNIT_LABELS, AnnotateConfig
-from ..sources.shared import once
+from ..sources.shared import once, plain_unions
 from ..sources.shared import table as stored
 from . import graph
 
@@ -72,7 +72,7 @@ class Context:
     links: DataFrame
 
 
-def entity_pairs(cand: DataFrame, edges: DataFrame, degree: DataFrame, transitive: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def entity_pairs(cand: DataFrame, edges: DataFrame, degree: graph.Degree, transitive: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs of candidates of one row, head left of tail, with their scores; and the paths of their entities."""
     h = cand.select("table_id", "row_idx", F.col("col_idx").alias("h_col"), F.col("entity").alias("head"), F.col("sim").alias("h_sim"), F.col("len").alias("h_len"))
     t = cand.select("table_id", "row_idx", F.col("col_idx").alias("t_col"), F.col("entity").alias("tail"), F.col("sim").alias("t_sim"), F.col("len").alias("t_len"))
@@ -109,7 +109,7 @@ def literal_matches(cand: DataFrame, cells: DataFrame, kinds: DataFrame, edges:
     return text.unionByName(other).select(*CAND, "ctx_col", "mention", "pid", "ord", "kind", "match")
 
 
-def context(cand: DataFrame, cells: DataFrame, kinds: DataFrame, edges: DataFrame, degree: DataFrame, units: DataFrame | None = None, transitive: list[str] | None = None) -> Context:
+def context(cand: DataFrame, cells: DataFrame, kinds: DataFrame, edges: DataFrame, degree: graph.Degree, units: DataFrame | None = None, transitive: list[str] | None = None) -> Context:
     """What the other cells of a row say for each candidate."""
     pairs, paths = entity_pairs(cand, edges, degree, transitive)
     pairs = stored(pairs, "pairs")
@@ -274,26 +274,35 @@ def unrelated_pairs(kinds: DataFrame, relations: DataFrame) -> DataFrame:
     return ent.join(lit, "table_id").join(best, PAIR, "left_anti").select(*PAIR)
 
 
-def annotate(cells: DataFrame, kinds: DataFrame, ranked: DataFrame, edges: DataFrame, types: DataFrame, supertypes: DataFrame, neighbours: DataFrame, units: DataFrame | None = None, config: AnnotateConfig | None = None, transitive: list[str] | None = None) -> dict[str, DataFrame]:
-    """The whole annotation: {'cea', 'cta', 'cpa'} of the last round."""
+def annotate(cells: DataFrame, kinds: DataFrame, ranked: DataFrame, edges: DataFrame, types: DataFrame, supertypes: DataFrame, neighbours: DataFrame | None = None, units: DataFrame | None = None, config: AnnotateConfig | None = None, transitive: list[str] | None = None) -> dict[str, DataFrame]:
+    """The whole annotation: {'cea', 'cta', 'cpa'} of the last round. `neighbours` of types are taken from the graph if
+    not given.
+
+    `edges` is read once, as it is given: for all edges of candidates and types, which are written for the rounds. Only
+    where candidates share other nodes, it is read again for their degrees. A graph that is costly to make should be
+    written before."""
     c = config or AnnotateConfig()
+    plain_unions(cells.sparkSession)
     # all rounds read these
-    cells, kinds, edges, types, supertypes, neighbours = (once(df, name) for df, name in ((cells, "cells"), (kinds, "kinds"), (edges, "edges"), (types, "types"), (supertypes, "supertypes"), (neighbours, "neighbours")))
-    degree = stored(graph.degrees(edges), "degree")
-    n_rows = cells.groupBy("table_id").agg(F.count_distinct("row_idx").cast("double").alias("n"))
+    cells, kinds, types, supertypes = (once(df, name) for df, name in ((cells, "cells"), (kinds, "kinds"), (types, "types"), (supertypes, "supertypes")))
+    n_rows = stored(cells.groupBy("table_id").agg(F.count_distinct("row_idx").cast("double").alias("n")), "n_rows")
     cand = stored(candidates(cells, kinds, ranked, c.top_k), "candidates")
+    asked = stored(cand.select("entity").union(types.select(F.col("type").alias("entity"))).distinct(), "asked")
+    whole, edges = edges, stored(graph.subgraph(edges, graph.few(asked)), "edges")
+    degree = lambda nodes: graph.degrees_of(nodes, whole, edges, asked)
+    neighbours = stored(graph.type_neighbours(types, edges) if neighbours is None else neighbours, "neighbours")
     ctx = context(cand, cells, kinds, edges, degree, units, transitive)
     ctx = Context(stored(ctx.scores, "scores"), stored(ctx.paths, "paths"), stored(ctx.links, "links"))
-    relate = lambda e, best, un=None: stored(cpa(e, cells, kinds, ctx.links, n_rows, best, un), "cpa")
-    vote = lambda e, best: stored(cta(e, types, n_rows, best, supertypes, c.level_weights), "cta")
-    one = relate(cea(first_scores(cand, kinds), False), False)
+    relate = lambda e, best, un=None: cpa(e, cells, kinds, ctx.links, n_rows, best, un)
+    vote = lambda e, best: cta(e, types, n_rows, best, supertypes, c.level_weights)
+    one = stored(relate(cea(first_scores(cand, kinds), False), False), "cpa")
     weighted = stored(context_weights(ctx.scores, kinds, one, c), "weights")
     scored, _ = rescore(cand, weighted, ctx.paths, one, kinds, c)
     scored = stored(scored, "scored")
-    kinds_of = vote(cea(scored, False), False)
+    kinds_of = stored(vote(cea(scored, False), False), "cta")
     best = stored(cea(scored, True, kinds_of, types, neighbours, config=c), "cea")
-    kinds_of, two = vote(best, True), relate(best, False)
-    apart = unrelated_pairs(kinds, two)
+    kinds_of, two = stored(vote(best, True), "cta"), stored(relate(best, False), "cpa")
+    apart = stored(unrelated_pairs(kinds, two), "apart")
     scored, alone = rescore(cand, weighted, ctx.paths, two, kinds, c, apart)
     last = stored(cea(scored, True, kinds_of, types, neighbours, alone, potentials(cand, two, edges), c), "cea")
     return {"cea": last, "cta": vote(last, True), "cpa": relate(last, True, apart)}

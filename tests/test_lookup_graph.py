@@ -141,6 +141,20 @@ def test_paths(spark):
     assert not any(h == "A" and t == "H" for h, t, _ in got)
 
 
+def test_degrees_of_known_nodes_do_not_read_the_graph(spark):
+    e = edges(spark)
+    nodes = lambda *names: spark.createDataFrame([(n,) for n in names], "entity string")
+    every = {r.entity: r.num_edges for r in graph.degrees(e).collect()}
+    own = graph.subgraph(e, nodes("A", "H"))
+    got = graph.degrees_of(nodes("A", "H"), None, own, nodes("A", "H"))  # no graph is given
+    assert {r.entity: r.num_edges for r in got.collect()} == {n: every[n] for n in "AH"}
+    got = graph.degrees_of(nodes("A", "C", "H", "none"), e, own, nodes("A", "H"))
+    assert {r.entity: r.num_edges for r in got.collect()} == {n: every[n] for n in "ACH"}
+    pairs = spark.createDataFrame([("C", "D"), ("E", "F"), ("C", "F"), ("A", "B")], "head string, tail string")
+    rows = lambda d: sorted(map(tuple, graph.paths(pairs, e, d).collect()))
+    assert rows(graph.degrees(e)) == rows(lambda n: graph.degrees_of(n, e, own, nodes("A", "H")))
+
+
 def test_types(spark):
     got = {(r.entity, r.type): r.level for r in graph.types_by_level(spark.createDataFrame([("A",), ("B",)], "entity string"), edges(spark)).collect()}
     assert got == {("A", "T1"): 1, ("A", "T2"): 2, ("A", "T3"): 3, ("B", "T2"): 1, ("B", "T3"): 2}
