@@ -123,6 +123,17 @@ def test_pairs_do_not_leave_their_cell(spark):
     assert left.count() < 20 * 60
 
 
+@pytest.mark.parametrize("part", [40, 1 << 17])
+def test_counts_of_candidates_need_no_list_of_them(spark, monkeypatch, part):
+    monkeypatch.setattr(lookup, "PART", part)
+    found = index(spark, NAMES + [(f"copy{k}", *NAMES[0][1:]) for k in range(5)])
+    mentions = spark.createDataFrame(ASKED, "mention string")
+    listed = lookup.lookup(mentions, found)
+    counts = lookup.candidate_counts(mentions, found)
+    assert {r.mention: r.n for r in counts.collect()} == {r.mention: r["count"] for r in listed.groupBy("mention").count().collect()}
+    assert lookup.average_candidates(counts).collect() == lookup.average_candidates(listed).collect()
+
+
 EDGES = [("A", "P1", False, "B", "NORMAL", 0), ("C", "P2", False, "H", "NORMAL", 0), ("D", "P3", False, "H", "PREFERRED", 0), ("E", "P361", False, "H", "NORMAL", 0), ("H", "P361", False, "F", "NORMAL", 0), ("A", "P585", False, "1994", "DateTime-Year", 0), ("T1", "P279", False, "T2", "NORMAL", 0), ("T2", "P279", False, "T3", "NORMAL", 0), ("A", "P31", False, "T1", "NORMAL", 0), ("B", "P31", False, "T1", "NORMAL", 0), ("B", "P106", False, "T2", "NORMAL", 0)]
 
 
