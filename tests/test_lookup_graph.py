@@ -104,6 +104,19 @@ def test_cells_rank_as_rows_do(spark, monkeypatch, part, top_k):
     assert got == rows(plain.where(F.col("rank") <= top_k) if top_k else plain) and len({r[0] for r in got}) == 5
 
 
+@pytest.mark.parametrize("part", [40, 1 << 17])
+def test_hits_are_not_shuffled(spark, monkeypatch, part):
+    """Hits are as many as mentions times labels of a word; what is dealt out are mentions, postings and labels."""
+    monkeypatch.setattr(lookup, "PART", part)
+    found, mentions = index(spark, NAMES + [(f"copy{k}", *NAMES[0][1:]) for k in range(5)]), spark.createDataFrame(ASKED, "mention string")
+    got = lookup.hits(mentions, found)
+    plain = lookup.form_hits(mentions, lookup.forms(found), lookup.LookupConfig()).join(found.select(lookup.form_id(), "label_id", "entity", "pr"), "form_id")
+    rows = lambda df: sorted((r.mention, r.label_id, r.entity, r.label, r.origin, r.pr, round(r.bm25, 9)) for r in df.collect())
+    assert rows(got) == rows(plain)
+    above = got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Exchange" not in above and "Join" not in above and "Sort" not in above
+
+
 def test_capped_hits_are_the_best_of_all(spark, monkeypatch):
     monkeypatch.setattr(lookup, "PART", 40)
     found, mentions = index(spark, NAMES), spark.createDataFrame(ASKED, "mention string")

@@ -37,6 +37,23 @@ def test_classes_behind_a_common_token_are_rated_only_if_they_may_count(monkeypa
     assert sum(pairs) < rated / 3
 
 
+def test_hits_leave_a_cell_as_lists(monkeypatch):
+    """Each label of each form with each mention that meets it, however lists and batches are cut."""
+    numbers, asked = range(0, 30), [3, 17, 29]
+    labels = [(0, meet.NAMED, 3 * n + k, 100 * n + 10 * k + i, None if i == 3 else float(i), f"S{n}-{i}", None) for n in numbers for k in (0, 1) for i in range(1 + n % 5)]
+    t = pa.concat_tables([_cell(numbers, asked), pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*labels, strict=True), ROW, strict=True)], schema=ROW)])
+    want = {}
+    for b in meet.Cell(t, LookupConfig()).hits():
+        for r in b.to_pylist():
+            want |= {(r["mention"], x[3]): (x[5], x[4], r["bm25"]) for x in labels if x[2] == r["form_id"]}
+    monkeypatch.setattr(meet, "PIECE", 2)
+    monkeypatch.setattr(meet, "SENT", 5)
+    monkeypatch.setattr(meet, "LIST", 40)
+    rows = [r for b in meet.Cell(t, LookupConfig()).listed() for r in b.to_pylist()]
+    got = [((a["mention"], x["label_id"]), (x["entity"], x["pr"], a["bm25"])) for r in rows for a in r["asked"] for x in r["named"]]
+    assert dict(got) == want and len(got) == len(want) and max(len(r["named"]) for r in rows) == 2
+
+
 def test_deletion_keys_of_buckets_lead_to_all_near_texts():
     r = np.random.default_rng(5)
     left, right = ([*{"".join(r.choice(list("abé0"), r.integers(0, 10))) for _ in range(150)}, "x" * 64, "x" * 66] for _ in range(2))
