@@ -54,6 +54,34 @@ def test_hits_leave_a_cell_as_lists(monkeypatch):
     assert dict(got) == want and len(got) == len(want) and max(len(r["named"]) for r in rows) == 2
 
 
+def test_tries_find_common_subsequences(monkeypatch):
+    monkeypatch.setattr(similarity.Tries, "LEAST", 3)
+    r = np.random.default_rng(7)
+    xs = ["", *{"".join(r.choice(list("aab0é"), r.integers(1, 8))) for _ in range(200)}]
+    for s in ("a", "ab0é", "z", "ba0a" * 16):
+        assert [n for n in similarity.Tries(xs).lcs(s).tolist() if n >= 0] == [similarity.lcs_length(s, x) for x, n in zip(xs, similarity.Tries(xs).lcs(s).tolist(), strict=True) if n >= 0]
+    assert (similarity.Tries(xs).lcs("a") >= 0).sum() > 150
+
+
+def test_counts_compare_few_of_the_pairs(monkeypatch):
+    """The classes counted are those that are rated and kept; most pairs are decided by bounds."""
+    c, pairs = LookupConfig(), []
+    plain = meet.numbered_similarities
+    monkeypatch.setattr(meet, "numbered_similarities", lambda ms, xs, im, *rest: pairs.append(len(im)) or plain(ms, xs, im, *rest))
+    numbers, asked = range(0, 900), [3, 217, 599, 8765]
+    rows = _cell(numbers, asked).to_pylist()
+    for r in rows:  # one word each, as in names of suppliers; each class is of two entities
+        r["s"] = r["s"] and r["s"].replace(" ", "#")
+        r["x"] = 2.0 if r["kind"] == meet.MEMBER else r["x"]
+    t = pa.Table.from_pylist(rows, schema=ROW)
+    kept = [r["mention"] for b in meet.Cell(t, c).rated(0.75, None, True) for r in b.to_pylist()]
+    rated = sum(pairs)
+    pairs.clear()
+    got = {r["mention"]: r["n"] for b in meet.Cell(t, c).counted(0.75) for r in b.to_pylist()}
+    assert got == {m: 2 * kept.count(m) for m in kept} and len(got) == 4
+    assert sum(pairs) < rated / 3
+
+
 def test_deletion_keys_of_buckets_lead_to_all_near_texts():
     r = np.random.default_rng(5)
     left, right = ([*{"".join(r.choice(list("abé0"), r.integers(0, 10))) for _ in range(150)}, "x" * 64, "x" * 66] for _ in range(2))
